@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import components, survivors
+from . import components, mixing, survivors, tokens, truncation
 
 
 def queries() -> dict:
@@ -10,6 +10,12 @@ def queries() -> dict:
         "p2_found": components.p2_found,
         "p5_found": survivors.p5_found,
         "p5_records": survivors.p5_records,
+        "p6_ids": tokens.p6_ids,
+        "p7_mix": mixing.p7_mix,
+        "p7_shares": mixing.p7_shares,
+        "p7_shares_full": mixing.p7_shares_full,
+        "p8_found": truncation.p8_found,
+        "p8_shares": truncation.p8_shares,
     }
 
 
