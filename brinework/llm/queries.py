@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import components, mixing, survivors, tokens, truncation
+from . import components, mixing, neardup, survivors, tokens, truncation
 
 
 def queries() -> dict:
     return {
         "p2_found": components.p2_found,
+        "p4_found": neardup.p4_found,
+        "p4_classes": neardup.p4_classes,
         "p5_found": survivors.p5_found,
         "p5_records": survivors.p5_records,
         "p6_ids": tokens.p6_ids,
@@ -20,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": components.P2_ORACLE, "p5_found": survivors.P5_ORACLE}
+    return {"p2_found": components.P2_ORACLE, "p4_found": neardup.P4_ORACLE, "p5_found": survivors.P5_ORACLE}
