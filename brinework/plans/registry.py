@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from ..operators import units
 from . import relational
 
-MODULES = [relational]
+MODULES = [relational, units]
 
 
 def queries() -> dict[str, Callable]:
