@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import components, mixing, neardup, survivors, tokens, truncation
+from . import components, mixing, neardup, noise, survivors, tokens, truncation
 
 
 def queries() -> dict:
     return {
         "p2_found": components.p2_found,
+        "p3_found": noise.p3_found,
+        "p3_text": noise.p3_text,
         "p4_found": neardup.p4_found,
         "p4_classes": neardup.p4_classes,
         "p5_found": survivors.p5_found,
