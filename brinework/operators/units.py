@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from ..checkpoint import Workspace
 from ..functions import quantities
-from ..tables import current, load
+from ..tables import current, hash_sample, load
 
-#: Most labelled rows the forest and its calibration are fitted on (chosen by hash over all of them).
+#: Labelled rows the forest and its calibration are fitted on, about (chosen by hash over all of them).
 SAMPLE = 12_000
 #: Part of the sample kept from the forest, for calibration.
 HELD_OUT = 0.3
@@ -155,8 +155,8 @@ class UnitPredictor:
 
 
 def fit_predictor(labelled: DataFrame, codes: StringIndexerModel, sample: int = SAMPLE) -> UnitPredictor | None:
-    """Fits on at most ``sample`` labelled rows; None if there are too few to learn from."""
-    rows = labelled.withColumn("label_name", F.concat_ws("|", "kind", "unit")).orderBy(F.xxhash64("record_kind", "record_id")).limit(sample)
+    """Fits on about ``sample`` labelled rows; None if there are too few to learn from."""
+    rows = hash_sample(labelled, ["record_kind", "record_id"], sample).withColumn("label_name", F.concat_ws("|", "kind", "unit"))
     rows = rows.select("record_kind", "record_id", "kind", "label_name", *FEATURES).repartition(4).cache()
     try:
         if rows.count() < 50:

@@ -1,2 +1,429 @@
-QUERIES = {}
-ORACLES = {}
+"""Relational core: filters, joins, aggregates, windows, ordering and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.common import dyadic, from_dyadic, round6, text_list
+from ..operators import joins
+from .catalog import Catalog, Tables
+
+catalog = Catalog()
+query = catalog.query
+QUERIES, ORACLES = catalog.queries, catalog.oracles
+
+DAY = 86_400
+
+
+def _day(c: str):
+    return F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
+
+
+@query("""
+WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id, count(*) AS states, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, count(*) FILTER (WHERE event_type = 'error') AS errors,
+  CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 AND count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 'COMPLETE'
+       WHEN count(*) FILTER (WHERE event_type = 'error') > 0 AND count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 'PARTIAL'
+       WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'FAILED' ELSE 'NOT_PROCESSED' END AS status
+FROM l GROUP BY user_id""")
+def event_state_rollup(t: Tables) -> DataFrame:
+    """W-01 + A-02 + PF-04: the latest state per key, counted by condition and classified in order."""
+    latest = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+    last = t.events.withColumn("rn", F.row_number().over(latest)).filter("rn = 1")
+    n = last.groupBy("user_id").agg(F.count(F.lit(1)).alias("states"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    status = F.when((F.col("errors") == 0) & (F.col("purchases") > 0), "COMPLETE").when((F.col("errors") > 0) & (F.col("purchases") > 0), "PARTIAL").when(F.col("errors") > 0, "FAILED").otherwise("NOT_PROCESSED")
+    return n.withColumn("status", status)
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) = 1")
+def latest_event_per_user(t: Tables) -> DataFrame:
+    """W-01, T-02."""
+    last = t.events.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("e"))
+    return last.select("user_id", "e.*")
+
+
+@query("""
+SELECT event_id, user_id, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id) > 0 AS has_end,
+       row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, ts DESC, event_id) AS choice FROM events""")
+def run_has_end(t: Tables) -> DataFrame:
+    """W-03, W-01: END records win, and every row knows whether its run has one."""
+    run = Window.partitionBy("user_id")
+    choice = run.orderBy(F.when(F.col("event_type") == "purchase", 0).otherwise(1), F.desc("ts"), "event_id")
+    return t.events.select("event_id", "user_id", (F.count_if(F.col("event_type") == "purchase").over(run) > 0).alias("has_end"), F.row_number().over(choice).cast("long").alias("choice"))
+
+
+@query("""
+SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS views,
+  min(event_id) AS first_id, max(event_id) AS last_id, (max(event_id) - min(event_id) + 1 = count(*) AND count(DISTINCT event_id) = count(*)) AS contiguous FROM events GROUP BY user_id""")
+def event_coverage_counts(t: Tables) -> DataFrame:
+    """A-02, A-11: conditional counts and the contiguity test in one pass."""
+    return t.events.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("kinds"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "view").alias("views"),
+        F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), ((F.max("event_id") - F.min("event_id") + 1 == F.count(F.lit(1))) & (F.count_distinct("event_id") == F.count(F.lit(1)))).alias("contiguous"),
+    )
+
+
+@query("""
+WITH o AS (SELECT c.c_custkey, count(o_orderkey) AS orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, count(*) FILTER (WHERE o_orderstatus = 'P') AS partial
+  FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1)
+SELECT CASE WHEN orders = 0 THEN 'NOT_PROCESSED' WHEN partial > 0 THEN 'PARTIAL' WHEN finished < orders THEN 'NEEDS_REVIEW' ELSE 'COMPLETE' END AS status, count(*) AS customers, sum(orders)::BIGINT AS orders FROM o GROUP BY 1""")
+def source_rollup(t: Tables) -> DataFrame:
+    """PF-04, A-10, J-02."""
+    n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count_if(F.col("o_orderstatus") == "P").alias("partial"))
+    rows = t.customer.select("c_custkey").join(n, "c_custkey", "left").fillna(0)
+    status = F.when(F.col("orders") == 0, "NOT_PROCESSED").when(F.col("partial") > 0, "PARTIAL").when(F.col("finished") < F.col("orders"), "NEEDS_REVIEW").otherwise("COMPLETE")
+    return rows.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("customers"), F.sum("orders").alias("orders"))
+
+
+@query("""
+SELECT (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM orders) AS orders, count(*) AS lines, count(DISTINCT l_orderkey) AS orders_with_lines,
+  count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_returnflag = 'A') AS accepted, count(*) FILTER (WHERE l_returnflag = 'N') AS open_lines,
+  count(*) FILTER (WHERE l_returnflag = 'R') + count(*) FILTER (WHERE l_returnflag = 'A') + count(*) FILTER (WHERE l_returnflag = 'N') = count(*) AS closed FROM lineitem""")
+def corpus_counts(t: Tables) -> DataFrame:
+    """A-10 with its closure check: the classes add up to the total. J-14 joins single rows."""
+    flag = F.col("l_returnflag")
+    lines = t.lineitem.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("l_orderkey").alias("orders_with_lines"), F.count_if(flag == "R").alias("returned"), F.count_if(flag == "A").alias("accepted"), F.count_if(flag == "N").alias("open_lines"))
+    one = t.customer.agg(F.count(F.lit(1)).alias("customers")).crossJoin(t.orders.agg(F.count(F.lit(1)).alias("orders")))
+    return one.crossJoin(lines).withColumn("closed", F.expr("returned + accepted + open_lines = lines"))
+
+
+@query("SELECT user_id, event_id, lead(event_id) OVER w AS next_id, lead(event_type) OVER w AS next_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY next_id IS NOT NULL")
+def next_event_sequence(t: Tables) -> DataFrame:
+    """W-02: each row with its successor, the last of a run dropped."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t.events.select("user_id", "event_id", F.lead("event_id").over(w).alias("next_id"), F.lead("event_type").over(w).alias("next_type")).filter("next_id is not null")
+
+
+@query("""
+WITH g AS (SELECT user_id, event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM events)
+SELECT user_id, grp::BIGINT AS grp, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM g GROUP BY ALL""")
+def heading_groups(t: Tables) -> DataFrame:
+    """W-05: rows belong to the heading before them (gaps and islands)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    grouped = t.events.select("user_id", "event_id", F.sum(F.when(F.col("event_type") == "signup", 1).otherwise(0)).over(w).alias("grp"))
+    return grouped.groupBy("user_id", "grp").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+@query("""
+WITH r AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 5 AS bucket FROM events)
+SELECT user_id, bucket, count(*) AS n, min(event_id) AS first_id FROM r GROUP BY ALL""")
+def row_windows(t: Tables) -> DataFrame:
+    """W-06: tumbling buckets of five rows."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t.events.withColumn("bucket", F.floor((F.row_number().over(w) - 1) / 5)).groupBy("user_id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand, p_type) AS sid FROM part")
+def dense_surrogate_ids(t: Tables) -> DataFrame:
+    """W-04: surrogates over the distinct keys only, then joined back; the whole table is never sorted in one task."""
+    keys = t.part.select("p_brand", "p_type").distinct()
+    per_brand = keys.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    before = per_brand.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p_brand").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = keys.withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_type"))).join(before.select("p_brand", "before"), "p_brand")
+    return t.part.join(ranked, ["p_brand", "p_type"]).select("p_partkey", (F.col("before") + F.col("r")).alias("sid"))
+
+
+@query("SELECT l_partkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem QUALIFY r <= 3")
+def topk_per_group(t: Tables) -> DataFrame:
+    """W-07: losers are dropped before the shuffle (WindowGroupLimit)."""
+    w = Window.partitionBy("l_partkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
+    return t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("r")).filter("r <= 3")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rp,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rs FROM lineitem QUALIFY rp <= 2 OR rs <= 2""")
+def dual_topk(t: Tables) -> DataFrame:
+    """W-08: kept if either ranking has it in front."""
+    by = [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"]
+    rp, rs = F.row_number().over(Window.partitionBy("l_partkey").orderBy(*by)), F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*by))
+    return t.lineitem.select("l_orderkey", "l_linenumber", rp.cast("long").alias("rp"), rs.cast("long").alias("rs")).filter("rp <= 2 or rs <= 2")
+
+
+@query("SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) WHERE rn % 4 = 0")
+def every_nth_boundary(t: Tables) -> DataFrame:
+    """W-09: every n-th key of a group."""
+    return t.orders.select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("rn")).filter("rn % 4 = 0")
+
+
+@query("SELECT count(*) AS n, count(o_orderpriority) AS n_priority, count(DISTINCT o_custkey) AS n_customers, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders")
+def range_export_census(t: Tables) -> DataFrame:
+    """SC-12/13: the key census of an export whose rows are range-partitioned and sorted inside."""
+    out = t.orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count("o_orderpriority").alias("n_priority"), F.count_distinct("o_custkey").alias("n_customers"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+
+
+@query("SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS states FROM orders GROUP BY 1")
+def ordered_distinct_collect(t: Tables) -> DataFrame:
+    """A-04."""
+    return t.orders.groupBy("o_custkey").agg(text_list(F.array_sort(F.collect_set("o_orderpriority"))).alias("priorities"), text_list(F.array_sort(F.collect_set("o_orderstatus"))).alias("states"))
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM orders)
+SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY rk) AS top10, string_agg(o_orderkey::VARCHAR, ',' ORDER BY rk) FILTER (WHERE rk <= 3) AS top3 FROM r WHERE rk <= 10 GROUP BY 1""")
+def slice_collect(t: Tables) -> DataFrame:
+    """A-05, W-10: collected in another key's order, cut to ten; the cut comes before the collecting."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    top = t.orders.select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rk")).filter("rk <= 10")
+    ordered = lambda c: text_list(F.transform(F.array_sort(c), lambda s: s["o_orderkey"]))
+    return top.groupBy("o_custkey").agg(ordered(F.collect_list(F.struct("rk", "o_orderkey"))).alias("top10"), ordered(F.collect_list(F.when(F.col("rk") <= 3, F.struct("rk", "o_orderkey")))).alias("top3"))
+
+
+@query("SELECT o_custkey, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS suppliers FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def flatten_distinct(t: Tables) -> DataFrame:
+    """A-07: arrays per order, flattened per customer, distinct and sorted."""
+    per_order = t.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("a"))
+    return t.orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(text_list(F.array_sort(F.array_distinct(F.flatten(F.collect_list("a"))))).alias("suppliers"))
+
+
+@query("""
+SELECT p_brand, arg_min(p_partkey, (p_retailprice, p_partkey)) AS cheapest, arg_max(p_partkey, (p_retailprice, p_partkey)) AS dearest, min(p_name) AS any_name FROM part GROUP BY 1""")
+def arg_min_first(t: Tables) -> DataFrame:
+    """A-06, A-03."""
+    key = F.struct("p_retailprice", "p_partkey")
+    return t.part.groupBy("p_brand").agg(F.min_by("p_partkey", key).alias("cheapest"), F.max_by("p_partkey", key).alias("dearest"), F.min("p_name").alias("any_name"))
+
+
+@query("""
+WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, l_returnflag AS dominant, n FROM c QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_returnflag) = 1""")
+def dominant_value(t: Tables) -> DataFrame:
+    """A-12, A-20."""
+    n = t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("l_suppkey").agg(F.min(F.struct((-F.col("n")).alias("m"), "l_returnflag", "n")).alias("b"))
+    return best.select("l_suppkey", F.col("b.l_returnflag").alias("dominant"), "b.n")
+
+
+@query("""
+SELECT l_returnflag, median(l_quantity) AS med, quantile_cont(l_quantity, 0.95) AS p95, floor(sum(round(l_extendedprice * l_quantity * 1024)::HUGEINT)::DOUBLE / sum(round(l_quantity * 1024)::HUGEINT)::DOUBLE * 1e6 + 0.5) / 1e6 AS weighted_mean FROM lineitem GROUP BY 1""")
+def quantiles_weighted(t: Tables) -> DataFrame:
+    """A-13, A-14, A-23: sums on a dyadic grid are the same in any order."""
+    grid = lambda c: F.round(c * 1024).cast("decimal(38,0)")
+    total = F.sum(grid(F.col("l_extendedprice") * F.col("l_quantity"))).cast("double") / F.sum(grid(F.col("l_quantity"))).cast("double")
+    return t.lineitem.groupBy("l_returnflag").agg(F.median("l_quantity").alias("med"), F.percentile("l_quantity", F.lit(0.95)).alias("p95"), round6(total).alias("weighted_mean"))
+
+
+@query("SELECT l_suppkey, min(l_shipdate)::DATE AS first_ship, max(l_shipdate)::DATE AS last_ship, min(l_discount) AS lo, max(l_discount) AS hi, count(*) FILTER (WHERE nullif(l_discount, 0) IS NULL) AS without FROM lineitem GROUP BY ALL")
+def range_with_nulls(t: Tables) -> DataFrame:
+    """A-15, A-09."""
+    return t.lineitem.groupBy("l_suppkey").agg(F.min("l_shipdate").cast("date").alias("first_ship"), F.max("l_shipdate").cast("date").alias("last_ship"), F.min("l_discount").alias("lo"), F.max("l_discount").alias("hi"), F.count_if(F.nullif("l_discount", F.lit(0.0)).isNull()).alias("without"))
+
+
+@query("SELECT l_orderkey, floor((1 - product(1 - l_discount)) * 1e6 + 0.5) / 1e6 AS score FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def noisy_or(t: Tables) -> DataFrame:
+    """A-16, A-08: 1 - the product of what is left."""
+    return t.lineitem.groupBy("l_orderkey").agg(F.product(1 - F.col("l_discount")).alias("p"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("l_orderkey", round6(1 - F.col("p")).alias("score"))
+
+
+@query("""
+WITH e AS (SELECT o_orderkey, o_orderpriority FROM orders), a AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS d FROM lineitem GROUP BY 1)
+SELECT coalesce(o_orderkey, l_orderkey) AS key, CASE WHEN o_orderkey IS NULL THEN 'EXTRA' WHEN l_orderkey IS NULL THEN 'MISSING' WHEN n > d THEN 'DUPLICATE' ELSE 'OK' END AS disposition FROM e FULL JOIN a ON o_orderkey = l_orderkey""")
+def coverage_ledger(t: Tables) -> DataFrame:
+    """A-25: expected against attempted; missing, extra and duplicate stay visible."""
+    a = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_linenumber").alias("d"))
+    j = t.orders.select("o_orderkey").join(a, F.col("o_orderkey") == F.col("l_orderkey"), "full")
+    what = F.when(F.col("o_orderkey").isNull(), "EXTRA").when(F.col("l_orderkey").isNull(), "MISSING").when(F.col("n") > F.col("d"), "DUPLICATE").otherwise("OK")
+    return j.select(F.coalesce("o_orderkey", "l_orderkey").alias("key"), what.alias("disposition"))
+
+
+@query("""
+WITH r AS (SELECT l_suppkey AS k, l_orderkey, l_linenumber, epoch(l_shipdate)::BIGINT AS moment FROM lineitem),
+i AS (SELECT l_suppkey AS k, min(epoch(l_shipdate))::BIGINT + 30 * 86400 AS s, min(epoch(l_shipdate))::BIGINT + 120 * 86400 AS e FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber FROM r JOIN i ON r.k = i.k AND moment BETWEEN s AND e""")
+def interval_join_closed(t: Tables) -> DataFrame:
+    """J-04, J-06: points in closed intervals, by bins."""
+    rows = t.lineitem.select(F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber", _day("l_shipdate").cast("long").alias("at"))
+    spans = rows.groupBy("k").agg((F.min("at") + 30 * DAY).alias("s"), (F.min("at") + 120 * DAY).alias("e"))
+    return joins.interval_join(rows, spans, "k", "at", "s", "e", 90 * DAY).select("l_orderkey", "l_linenumber")
+
+
+@query("""
+WITH r AS (SELECT l_suppkey AS k, l_orderkey, l_linenumber, epoch(l_shipdate)::BIGINT AS moment FROM lineitem),
+i AS (SELECT l_suppkey AS k, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE min(epoch(l_shipdate))::BIGINT + 30 * 86400 END AS s, CASE WHEN l_suppkey % 3 = 1 THEN NULL ELSE min(epoch(l_shipdate))::BIGINT + 120 * 86400 END AS e FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber FROM r JOIN i ON r.k = i.k AND moment >= coalesce(s, moment) AND moment <= coalesce(e, moment)""")
+def interval_join_open(t: Tables) -> DataFrame:
+    """J-05: a null bound is open."""
+    rows = t.lineitem.select(F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber", _day("l_shipdate").cast("long").alias("at"))
+    spans = rows.groupBy("k").agg(F.min("at").alias("m")).select("k", F.when(F.col("k") % 3 != 0, F.col("m") + 30 * DAY).alias("s"), F.when(F.col("k") % 3 != 1, F.col("m") + 120 * DAY).alias("e"))
+    return joins.interval_join(rows, spans, "k", "at", "s", "e", 90 * DAY).select("l_orderkey", "l_linenumber")
+
+
+@query("""
+WITH n AS (SELECT p_partkey, p_name, p_brand || p_size::VARCHAR AS block FROM part)
+SELECT a.p_partkey AS a, b.p_partkey AS b, floor((1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))) * 1e6 + 0.5) / 1e6 AS similarity FROM n a JOIN n b ON a.block = b.block AND a.p_partkey < b.p_partkey
+WHERE abs(length(a.p_name) - length(b.p_name)) <= greatest(length(a.p_name), length(b.p_name)) * 0.5 AND 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) >= 0.5""")
+def fuzzy_name_match(t: Tables) -> DataFrame:
+    """J-07, B-02: blocked edit distance."""
+    n = t.part.select("p_partkey", "p_name", F.concat("p_brand", F.col("p_size").cast("string")).alias("block"))
+    return joins.fuzzy_join(n, n, "p_partkey", "p_partkey", "p_name", "p_name", "block", 0.5).filter("a < b").select("a", "b", round6(F.col("similarity")).alias("similarity"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-03-01')
+SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey""")
+def array_overlap_join(t: Tables) -> DataFrame:
+    """J-08: orders whose part lists meet."""
+    lists = t.lineitem.filter("l_shipdate < timestamp_ntz'1995-03-01'").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    return joins.array_overlap_join(lists.withColumnRenamed("l_orderkey", "a"), lists.withColumnRenamed("l_orderkey", "b").withColumnRenamed("parts", "others"), "a", "parts", "b", "others").filter("a < b")
+
+
+@query("SELECT c_custkey, 'ORDERED' AS kind FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'NEVER' FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def semi_anti(t: Tables) -> DataFrame:
+    """J-11, J-12, U-01."""
+    key = F.col("c_custkey") == F.col("o_custkey")
+    have = t.customer.join(t.orders, key, "left_semi").select("c_custkey", F.lit("ORDERED").alias("kind"))
+    return have.unionAll(t.customer.join(t.orders, key, "left_anti").select("c_custkey", F.lit("NEVER").alias("kind")))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, nullif(event_type, 'view') AS k FROM events WHERE event_type <> 'error'), x AS (SELECT DISTINCT user_id, nullif(event_type, 'view') AS k FROM events WHERE value > 90)
+SELECT event_id FROM e WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.user_id = e.user_id AND x.k IS NOT DISTINCT FROM e.k)""")
+def null_safe_anti(t: Tables) -> DataFrame:
+    """J-13, PF-03: no counterpart, null equal to null."""
+    e = t.events.filter("event_type <> 'error'").select("event_id", "user_id", F.nullif("event_type", F.lit("view")).alias("k")).alias("e")
+    x = t.events.filter("value > 90").select("user_id", F.nullif("event_type", F.lit("view")).alias("k")).distinct().alias("x")
+    return e.join(x, (F.col("e.user_id") == F.col("x.user_id")) & F.col("e.k").eqNullSafe(F.col("x.k")), "left_anti").select("event_id")
+
+
+@query("""
+WITH RECURSIVE m AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 AND c_custkey > 8 THEN c_custkey - 8 END AS into_id FROM customer WHERE c_custkey <= 130),
+r AS (SELECT id, id AS final, 0 AS steps FROM m UNION ALL SELECT r.id, m.into_id, r.steps + 1 FROM r JOIN m ON m.id = r.final WHERE m.into_id IS NOT NULL AND r.steps < 16)
+SELECT id, final, steps::BIGINT AS steps FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY steps DESC) = 1""")
+def merged_chain(t: Tables) -> DataFrame:
+    """J-15: where each merged record ends, at most 16 steps on."""
+    m = t.customer.filter("c_custkey <= 130").select(F.col("c_custkey").alias("id"), F.when((F.col("c_custkey") % 7 != 0) & (F.col("c_custkey") > 8), F.col("c_custkey") - 8).alias("into_id"))
+    far = joins.closure(t.spark, m.dropna(), "id", "into_id", 16)
+    last = far.groupBy(F.col("src").alias("id")).agg(F.max(F.struct("steps", "dst")).alias("e"))
+    return m.join(last, "id", "left").select("id", F.coalesce("e.dst", "id").alias("final"), F.coalesce("e.steps", F.lit(0)).cast("long").alias("steps"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT 'R' || r_regionkey AS p, 'N' || n_nationkey AS c FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier),
+d AS (SELECT p, c, 1 AS depth FROM e UNION ALL SELECT d.p, e.c, depth + 1 FROM d JOIN e ON e.p = d.c)
+SELECT p AS ancestor, count(*) AS descendants, max(depth)::BIGINT AS depth FROM d GROUP BY 1""")
+def tree_descendants(t: Tables) -> DataFrame:
+    """J-15, GR-08 on the region tree."""
+    e = t.nation.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("p"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("c"))
+    e = e.unionByName(t.supplier.select(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("p"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("c")))
+    return joins.closure(t.spark, e, "p", "c").groupBy(F.col("src").alias("ancestor")).agg(F.count(F.lit(1)).alias("descendants"), F.max("steps").alias("depth"))
+
+
+@query("""
+SELECT o.o_orderkey, e.event_id FROM (SELECT o_orderkey, o_custkey % 150 AS user_id, TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 30) DAY AS at FROM orders) o
+JOIN (SELECT user_id, event_id, ts FROM events) e ON o.user_id = e.user_id AND e.ts <= o.at QUALIFY row_number() OVER (PARTITION BY o.o_orderkey ORDER BY e.ts DESC, e.event_id DESC) = 1""")
+def latest_version_join(t: Tables) -> DataFrame:
+    """J-19: as-of join in one pass over both sides."""
+    left = t.orders.select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(o_orderkey % 30 as int))").alias("at"))
+    return joins.latest_before(left, t.events.select("user_id", "event_id", "ts"), "user_id", "at", "ts", "event_id").select("o_orderkey", "event_id")
+
+
+@query("""
+WITH s AS (SELECT a.p_partkey AS a, b.s_suppkey AS b, (a.p_partkey * 7919 + b.s_suppkey * 104729) % 9973 AS score FROM part a JOIN supplier b ON a.p_size % 5 = b.s_nationkey % 5 WHERE a.p_partkey <= 300)
+SELECT a, b, score FROM s QUALIFY rank() OVER (PARTITION BY a ORDER BY score DESC) = 1 AND rank() OVER (PARTITION BY b ORDER BY score DESC) = 1""")
+def mutual_best_pairs(t: Tables) -> DataFrame:
+    """J-21."""
+    p, s = t.part.filter("p_partkey <= 300").select(F.col("p_partkey").alias("a"), (F.col("p_size") % 5).alias("k")), t.supplier.select(F.col("s_suppkey").alias("b"), (F.col("s_nationkey") % 5).alias("k"))
+    scored = p.join(s, "k").select("a", "b", ((F.col("a") * 7919 + F.col("b") * 104729) % 9973).alias("score"))
+    return joins.mutual_best(scored, "a", "b", "score")
+
+
+@query("""
+SELECT 'ORDER' AS kind, o_orderkey AS id, o_totalprice AS amount, NULL::INTEGER AS size FROM orders WHERE o_orderstatus = 'F'
+UNION ALL BY NAME SELECT 'PART' AS kind, p_partkey AS id, NULL::DOUBLE AS amount, p_size AS size FROM part UNION ALL BY NAME SELECT 'SUPPLIER' AS kind, s_suppkey AS id, s_acctbal AS amount, NULL::INTEGER AS size FROM supplier""")
+def union_by_name_objects(t: Tables) -> DataFrame:
+    """U-02, PF-06: columns a branch lacks are null."""
+    a = t.orders.filter("o_orderstatus = 'F'").select(F.lit("ORDER").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))
+    b = t.part.select(F.lit("PART").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))
+    c = t.supplier.select(F.lit("SUPPLIER").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("amount"))
+    return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
+
+
+@query("""
+SELECT (SELECT count(*) FROM (SELECT l_partkey, l_suppkey FROM lineitem EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber > 1)) AS left_only,
+       (SELECT count(*) FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber > 1 EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem)) AS right_only""")
+def multiset_equality(t: Tables) -> DataFrame:
+    """U-04 by signed counts: one aggregation instead of two exceptAll."""
+    a, b = t.lineitem.select("l_partkey", "l_suppkey", F.lit(1).alias("s")), t.lineitem.filter("l_linenumber > 1").select("l_partkey", "l_suppkey", F.lit(-1).alias("s"))
+    d = a.unionAll(b).groupBy("l_partkey", "l_suppkey").agg(F.sum("s").alias("d"))
+    return d.agg(F.coalesce(F.sum(F.greatest("d", F.lit(0))), F.lit(0)).alias("left_only"), F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("right_only"))
+
+
+@query("""
+WITH old AS (SELECT o_orderkey AS id, md5(o_orderstatus) AS h FROM orders WHERE o_orderkey % 10 <> 0), new AS (SELECT o_orderkey AS id, md5(CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END) AS h FROM orders WHERE o_orderkey % 10 <> 1)
+SELECT coalesce(old.id, new.id) AS id, CASE WHEN old.id IS NULL THEN 'NEW' WHEN new.id IS NULL THEN 'ORPHANED' WHEN old.h = new.h THEN 'UNCHANGED' ELSE 'CHANGED' END AS plan FROM old FULL JOIN new ON old.id = new.id""")
+def plan_diff(t: Tables) -> DataFrame:
+    """U-07, ST-02: what an incremental run has to do, by content hash."""
+    old = t.orders.filter("o_orderkey % 10 <> 0").select("o_orderkey", F.md5("o_orderstatus").alias("h"))
+    new = t.orders.filter("o_orderkey % 10 <> 1").select("o_orderkey", F.md5(F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))).alias("h"))
+    j = old.alias("a").join(new.alias("b"), F.col("a.o_orderkey") == F.col("b.o_orderkey"), "full")
+    plan = F.when(F.col("a.o_orderkey").isNull(), "NEW").when(F.col("b.o_orderkey").isNull(), "ORPHANED").when(F.col("a.h") == F.col("b.h"), "UNCHANGED").otherwise("CHANGED")
+    return j.select(F.coalesce("a.o_orderkey", "b.o_orderkey").alias("id"), plan.alias("plan"))
+
+
+@query("SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey")
+def distinct_pairs(t: Tables) -> DataFrame:
+    """U-06, J-09: each unordered pair once; orders have few lines, so the self-join is bounded by them."""
+    one = t.lineitem.select("l_orderkey", "l_partkey").distinct()
+    j = one.alias("a").join(one.alias("b"), "l_orderkey").filter("a.l_partkey < b.l_partkey")
+    return j.select(F.col("a.l_partkey").alias("a"), F.col("b.l_partkey").alias("b")).distinct()
+
+
+@query("SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0 UNION SELECT s_suppkey FROM supplier WHERE s_nationkey = 3")
+def id_set_operations(t: Tables) -> DataFrame:
+    """U-03, U-05."""
+    a = t.lineitem.filter("l_returnflag = 'R' and l_quantity > 49").select("l_suppkey")
+    return a.intersect(t.supplier.filter("s_acctbal > 0").select("s_suppkey")).union(t.supplier.filter("s_nationkey = 3").select("s_suppkey")).distinct()
+
+
+@query("""
+SELECT p_partkey, p_name, p_size FROM part WHERE p_name ILIKE '%a%' AND p_size BETWEEN 5 AND 30 AND p_brand NOT IN ('Brand#11', 'Brand#12') AND p_retailprice >= 1000 ORDER BY p_retailprice DESC, p_partkey LIMIT 40 OFFSET 10""")
+def structured_object_query(t: Tables) -> DataFrame:
+    """PF-07, PF-08, PF-10, T-03: optional predicates put together, then a page of the ordered result."""
+    wanted = {"name_like": "%a%", "size": (5, 30), "not_brands": ["Brand#11", "Brand#12"], "least_price": 1000}
+    tests = {
+        "name_like": lambda v: F.col("p_name").ilike(v),
+        "size": lambda v: F.col("p_size").between(*v),
+        "not_brands": lambda v: ~F.col("p_brand").isin(v),
+        "least_price": lambda v: F.col("p_retailprice") >= v,
+    }
+    rows = t.part
+    for name, value in wanted.items():
+        rows = rows.filter(tests[name](value))
+    return rows.orderBy(F.desc("p_retailprice"), "p_partkey").offset(10).limit(40).select("p_partkey", "p_name", "p_size")
+
+
+@query("SELECT o_orderkey, (CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate END IS NULL) AS unknown FROM orders WHERE CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate END IS NULL OR o_orderdate <= TIMESTAMP '1997-06-30'")
+def filter_policy(t: Tables) -> DataFrame:
+    """PF-11: available by a date, unknown included by policy."""
+    at = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate"))
+    return t.orders.select("o_orderkey", at.alias("at")).filter("at is null or at <= timestamp_ntz'1997-06-30'").select("o_orderkey", F.col("at").isNull().alias("unknown"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 51")
+def keyset_page(t: Tables) -> DataFrame:
+    """PF-16: the page after a key, with one row more to tell whether another follows."""
+    return t.orders.filter("o_orderkey > 500").orderBy("o_orderkey").limit(51).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def global_topk(t: Tables) -> DataFrame:
+    """T-01, T-04: each task keeps its best hundred (TakeOrderedAndProject)."""
+    top = t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+    return top.select("o_orderkey", "o_custkey", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("pos"))
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, CAST(sum(round(l_quantity * 1024)::HUGEINT) AS DOUBLE) / 1024 AS qty, count(*) AS n, grouping(l_returnflag)::BIGINT AS g1, grouping(l_linestatus)::BIGINT AS g2 FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def cube_rollup(t: Tables) -> DataFrame:
+    """An extension: cube with grouping marks."""
+    return t.lineitem.cube("l_returnflag", "l_linestatus").agg((F.sum(F.round(F.col("l_quantity") * 1024).cast("decimal(38,0)")).cast("double") / 1024).alias("qty"), F.count(F.lit(1)).alias("n"), F.grouping("l_returnflag").cast("long").alias("g1"), F.grouping("l_linestatus").cast("long").alias("g2"))
+
+
+@query("SELECT c_mktsegment, n_name, count(*) AS customers, floor(sum(round(c_acctbal * 16777216)::HUGEINT)::DOUBLE / 16777216 * 1e6 + 0.5) / 1e6 AS balance FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'EUROPE' GROUP BY ALL")
+def joined_aggregate(t: Tables) -> DataFrame:
+    """J-01, J-03, A-01, A-23."""
+    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).join(t.region.filter("r_name = 'EUROPE'"), F.col("r_regionkey") == F.col("n_regionkey"))
+    total = F.sum(dyadic(F.col("c_acctbal")).cast("decimal(38,0)")).cast("double")
+    return rows.groupBy("c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("customers"), round6(from_dyadic(total)).alias("balance"))

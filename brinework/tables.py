@@ -39,3 +39,15 @@ def current(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | No
     if columns:
         df = df.select(*dict.fromkeys([*keys, time, *columns]))
     return latest_per_key(df, keys, time)
+
+
+def hash_sample(df: DataFrame, columns: list[str], most: int, seed: str = "sample") -> DataFrame:
+    """About ``most`` rows (all, if there are fewer), chosen by a hash of ``columns``.
+
+    A threshold on the hash needs no sort, and no task hands over more than
+    its share; the choice doesn't depend on the partitioning.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 31)) < int(most / n * (1 << 31)))
