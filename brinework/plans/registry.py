@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..operators import units
-from . import relational
+from . import relational, text
 
-MODULES = [relational, units]
+MODULES = [relational, text, units]
 
 
 def queries() -> dict[str, Callable]:
