@@ -21,19 +21,22 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _by(a: Column, value: Column, how) -> Column:
+    """how(x, value) for every x of an array; the value, which may itself read the array, is computed once a row."""
+    return F.zip_with(a, F.array_repeat(value, F.size(a)), how)
+
+
 def unit(a: Column) -> Column:
     """L2-normalised; a null vector stays."""
-    length = norm(a)
-    return F.transform(a, lambda x: F.when(length > 0, x.cast("double") / F.nullif(length, F.lit(0.0))).otherwise(0.0))
+    return _by(a, F.nullif(norm(a), F.lit(0.0)), lambda x, length: F.coalesce(x.cast("double") / length, F.lit(0.0)))
 
 
 def quantized(a: Column, how: str) -> Column:
     """R-04: int8 (largest value at 127, scaled back) or binary (signs), then normalised."""
     if how == "binary":
         return unit(F.transform(a, lambda x: F.when(x >= 0, 1.0).otherwise(-1.0)))
-    scale = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double")))) / 127
-    whole = F.transform(a, lambda x: F.least(F.greatest(F.floor(x.cast("double") / F.nullif(scale, F.lit(0.0)) + 0.5), F.lit(-127)), F.lit(127)) * scale)
-    return unit(F.transform(whole, lambda x: F.coalesce(x, F.lit(0.0))))
+    scale = F.nullif(F.array_max(F.transform(a, lambda x: F.abs(x.cast("double")))) / 127, F.lit(0.0))
+    return unit(_by(a, scale, lambda x, s: F.coalesce(F.least(F.greatest(F.floor(x.cast("double") / s + 0.5), F.lit(-127)), F.lit(127)) * s, F.lit(0.0))))
 
 
 def _packed(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
@@ -87,19 +90,30 @@ def mean_vector(rows: DataFrame, group: list[str], vector: str, weight: Column |
 def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:
     """qid, doc, score: sum over query tokens of the best document token (R-06). Tokens: id, pos, vec.
 
-    Tokens are gathered to matrices per text; the stated queries are packed and
-    meet the documents as in ``search``.
+    Tokens are gathered to a matrix per text; blocks of the stated queries meet
+    blocks of documents, as in ``search``.
     """
-    q = query_tokens.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda t: t["vec"]).alias("m"))
-    d = doc_tokens.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda t: t["vec"]).alias("m"))
+    matrix = F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda t: t["vec"])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), QUERY_BLOCK):
+                part = batch.iloc[k : k + QUERY_BLOCK]
+                whole = np.concatenate([np.array(list(m), dtype=np.float64) for m in part["m"]])
+                yield pd.DataFrame({"ids": [part["id"].to_numpy(dtype=np.int64).tobytes()], "sizes": [part["m"].map(len).to_numpy(dtype=np.int64).tobytes()], "matrix": [whole.tobytes()], "dim": [whole.shape[1]]})
+
+    def packed(tokens: DataFrame, name: str) -> DataFrame:
+        blocks = tokens.groupBy("id").agg(matrix.alias("m")).mapInPandas(pack, "ids binary, sizes binary, matrix binary, dim int")
+        return blocks.select(*(F.col(c).alias(f"{name}_{c}") for c in blocks.columns))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for a, qm, b, dm in zip(batch["qid"], batch["qm"], batch["doc"], batch["dm"], strict=True):
-                s = np.array(list(qm), dtype=np.float64) @ np.array(list(dm), dtype=np.float64).T
-                rows.append((a, b, float(s.max(axis=1).sum()) if s.size else 0.0))
-            yield pd.DataFrame(rows, columns=["qid", "doc", "score"])
-
-    pairs = d.select(F.col("id").alias("doc"), F.col("m").alias("dm")).crossJoin(q.select(F.col("id").alias("qid"), F.col("m").alias("qm")))
-    return pairs.mapInPandas(score, "qid long, doc long, score double")
+            for r in batch.itertuples(index=False):
+                q, d = np.frombuffer(r.q_matrix).reshape(-1, r.q_dim), np.frombuffer(r.d_matrix).reshape(-1, r.d_dim)
+                starts = [np.r_[0, np.cumsum(np.frombuffer(s, dtype=np.int64))[:-1]] for s in (r.q_sizes, r.d_sizes)]
+                best = np.maximum.reduceat(q @ d.T, starts[1], axis=1)
+                total = np.add.reduceat(best, starts[0], axis=0)
+                asked, docs = np.frombuffer(r.q_ids, dtype=np.int64), np.frombuffer(r.d_ids, dtype=np.int64)
+                yield pd.DataFrame({"qid": np.repeat(asked, len(docs)), "doc": np.tile(docs, len(asked)), "score": total.ravel()})
+
+    return packed(doc_tokens, "d").crossJoin(packed(query_tokens, "q")).mapInPandas(score, "qid long, doc long, score double")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..operators import units
-from . import relational, text
+from . import graph, relational, temporal, text, vectors
 
-MODULES = [relational, text, units]
+MODULES = [relational, text, vectors, graph, temporal, units]
 
 
 def queries() -> dict[str, Callable]:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoint import Workspace
 from ..functions import text as X
 from ..functions.common import round6, text_list
 from ..operators import duplicates, retrieval, terms
@@ -105,7 +106,8 @@ def dup_cluster_kinds(t: Tables) -> DataFrame:
 @query()
 def minhash_clusters(t: Tables) -> DataFrame:
     """D-01 .. D-07: shingles of five words, bands, exact verification at 0.8, groups by least member."""
-    units = _words(t).select(F.col("doc_id").alias("u"), F.array_distinct(F.transform(X.shingles(F.col("w"), 5), lambda s: F.xxhash64(s))).alias("s")).filter(F.size("s") > 0)
+    units = _words(t).select(F.col("doc_id").alias("u"), X.shingles(F.col("w"), 5).alias("s"))
+    units = Workspace(t.spark, "minhash").cut(units.select("u", F.array_distinct(F.transform("s", lambda s: F.xxhash64(s))).alias("s")), "units").filter("size(s) > 0")
     pairs = duplicates.star_candidates(duplicates.minhash_bands(units, "u", "s"), "u")
     good = duplicates.verified(pairs, units, "u", "s").filter("jaccard >= 0.8")
     return duplicates.label_propagation(t.spark, good.select("a", "b")).select(F.col("id").alias("doc_id"), F.col("label").alias("cluster_id"))
