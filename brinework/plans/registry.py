@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..operators import units
-from . import graph, relational, temporal, text, vectors
+from . import graph, quality, relational, temporal, text, vectors
 
-MODULES = [relational, text, vectors, graph, temporal, units]
+MODULES = [relational, text, vectors, graph, temporal, quality, units]
 
 
 def queries() -> dict[str, Callable]:
