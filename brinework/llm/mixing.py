@@ -57,7 +57,7 @@ def budgets(sized: DataFrame, targets: DataFrame, total: int | None = None) -> D
         at = F.coalesce(full - F.when(F.col("weight") > 0, F.col("cap")).otherwise(0), F.lit(0))
         open_ = F.round(rest + F.col("weight"), 12)
         water = F.try_divide(F.lit(float(total)) - at, open_)
-        first = F.min(F.when((F.col("weight") > 0) & (water <= F.col("level")), F.struct("level", water.alias("water")))).over(whole)
+        first = F.min(F.when((F.col("weight") > 0) & (water <= F.col("level")), F.struct("level", "source", water.alias("water")))).over(whole)
         rows = rows.withColumn("water", first["water"])
         rows = rows.withColumn("water", F.coalesce("water", F.max("level").over(whole)))
     budget = F.least(F.col("cap").cast("double"), F.col("weight") * F.col("water"))

@@ -155,13 +155,13 @@ def _candidates(threshold: float):
             keep = (n[a] + n[b] - apart) // 2 >= t
             found.append(np.stack([a[keep], key[x[keep]], rank[b[keep]]]))
         out: list[tuple[str, str, int]] = []
-        if found:
+        if sum(f.shape[1] for f in found):
             a, k, r = np.concatenate(found, axis=1)
             order = np.lexsort((r, k, a))
             a, k, r = a[order], k[order], r[order]
             of_rank = np.argsort(rank)
             lists: dict[int, list[list[int]]] = {}
-            cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (k[1:] != k[:-1])]) if len(a) else []
+            cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (k[1:] != k[:-1])])
             for lo, hi in zip(cut, [*cut[1:], len(a)], strict=True):
                 lists.setdefault(int(a[lo]), []).append(r[lo:hi].tolist())
             for searcher, short in lists.items():

@@ -17,7 +17,8 @@ taken off first, again as endings that many different texts share.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -105,7 +106,11 @@ def stop_of(text: str, shared: set[str]) -> tuple[str, bool]:
 
 
 def shared_endings(texts: DataFrame) -> DataFrame:
-    """ending: those that many different texts have. texts: text, not null."""
+    """ending: those that many different texts have, and that texts seldom go on after. texts: text, not null.
+
+    The beginning of a sentence that happens to be cut at one place in several
+    texts recurs too; but elsewhere that sentence goes on.
+    """
 
     def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -115,7 +120,38 @@ def shared_endings(texts: DataFrame) -> DataFrame:
     hashed = texts.select("text", F.xxhash64("text").alias("h"))
     seen = hashed.mapInPandas(units, "ending string, h long").distinct().groupBy("ending").agg(F.count(F.lit(1)).alias("n"))
     total = hashed.agg(F.count_distinct("h").alias("total"))
-    return seen.crossJoin(F.broadcast(total)).filter((F.col("n") >= LEAST) & (F.col("n") >= F.col("total") * SHARED)).select("ending")
+    often = seen.crossJoin(F.broadcast(total)).filter((F.col("n") >= LEAST) & (F.col("n") >= F.col("total") * SHARED))
+    counts = {r.ending: r.n for r in often.toLocalIterator()}
+    known = texts.sparkSession.sparkContext.broadcast(_by_start(counts))
+
+    def followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        going_on: Counter[str] = Counter()
+        for batch in batches:
+            for t in batch["text"]:
+                going_on.update(set(_gone_on(t, known.value)))
+        yield pd.DataFrame(sorted(going_on.items()), columns=["ending", "m"])
+
+    on = hashed.select("text").mapInPandas(followed, "ending string, m long").groupBy("ending").agg(F.sum("m").alias("m"))
+    return often.join(on, "ending", "left").filter(F.coalesce("m", F.lit(0)) < F.col("n")).select("ending")
+
+
+def _by_start(endings: Iterable[str]) -> dict[str, list[str]]:
+    """Endings of some letters by their first four characters."""
+    out: dict[str, list[str]] = {}
+    for e in endings:
+        if sum(map(str.isalpha, e)) >= 3:
+            out.setdefault(e[:4], []).append(e)
+    return out
+
+
+def _gone_on(text: str, by_start: dict[str, list[str]]) -> Iterator[str]:
+    """Endings that a sentence of the text starts with and doesn't end with."""
+    for line in text.split("\n"):
+        for s in _SENTENCE.split(line):
+            s = _DIGITS.sub("0", s)
+            for e in by_start.get(s[:4], ()):
+                if len(s) > len(e) + 1 and s.startswith(e):
+                    yield e
 
 
 def stops(docs: DataFrame, shared: DataFrame) -> DataFrame:
