@@ -100,7 +100,7 @@ def unit_of(text: str | None, kind: str) -> Unit | None:
         if text and text[0] in "([{" and text[-1] in ")]}":
             text = text[1:-1].strip(_SPACES)
     scale = 1.0
-    if kind != "fraction" and (m := _SCALE.match(text)):
+    if kind != "fraction" and (m := _SCALE.match(text)) and len(m.group(1)) <= 3:
         scale, text = 10.0 ** int(m.group(1).replace("−", "-")), text[m.end() :]
     elif m := _WORD_SCALE.match(text):
         scale, text = _WORDS[m.group(1).lower()], text[m.end() :]
@@ -139,7 +139,7 @@ def _value(m: re.Match) -> tuple[float, int | None]:
 
 
 def read(text: str | None) -> Quantity | None:
-    """The first quantity of a text; None without a number.
+    """The first quantity of a text; None without a number, or with one beyond all bounds.
 
     Comma and point are decimal marks, blanks of any kind group thousands.  A
     range has both bounds, in either order; a number with a tolerance its two
@@ -147,7 +147,14 @@ def read(text: str | None) -> Quantity | None:
     """
     if not text:
         return None
-    text = _TEN.sub(lambda m: "10^" + m.group(1).translate(_SUPER), text)
+    try:
+        found = _read(_TEN.sub(lambda m: "10^" + m.group(1).translate(_SUPER), text))
+    except OverflowError:
+        return None
+    return found if found and all(b is None or math.isfinite(b) for b in found[:2]) else None
+
+
+def _read(text: str) -> Quantity | None:
     first = _TERM.search(text)
     if not first:
         return None
