@@ -23,7 +23,3 @@ def from_dyadic(x: Column, bits: int = 24) -> Column:
 def text_list(a: Column) -> Column:
     """An array as one text."""
     return F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
-
-
-def as_long(c: Column) -> Column:
-    return c.cast("long")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..checkpoint import Workspace
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, width: int, how: str = "inner") -> DataFrame:
+def interval_join(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, width: int) -> DataFrame:
     """Points inside closed intervals of the same key; null bounds are open (J-04, J-05).
 
     Bins of ``width`` make it an equi-join: an interval is repeated for the
@@ -23,10 +23,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str, at: str, st
     inside = tagged.join(binned, [key, "__bin"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("__bin")
     low, high = F.coalesce(F.col(start), F.col(at)), F.coalesce(F.col(end), F.col(at))
     rest = points.join(open_, key).filter(F.col(at).between(low, high))
-    found = inside.unionByName(rest)
-    if how == "inner":
-        return found
-    return points.join(found.select(*points.columns).distinct(), points.columns, "left_anti").unionByName(found, allowMissingColumns=True).unionByName(found.limit(0), allowMissingColumns=True)
+    return inside.unionByName(rest)
 
 
 def array_overlap_join(left: DataFrame, right: DataFrame, left_id: str, left_array: str, right_id: str, right_array: str) -> DataFrame:

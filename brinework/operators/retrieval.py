@@ -20,8 +20,9 @@ def postings(docs: DataFrame, doc: str, tokens: str) -> DataFrame:
 def bm25(posts: DataFrame, docs: DataFrame, doc: str, tokens: str, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """qid, doc, score (R-01). queries: qid, terms (array).
 
-    Only postings of query terms are scored; document frequencies are counted
-    on them, before any text is joined.
+    Only postings of query terms are scored, and their document frequencies
+    counted on them.  Parts are summed on a grid of 2^-24, so that scores and
+    ties don't depend on the order of addition.
     """
     wanted = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
     size = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens)).alias("avgdl"))
@@ -30,7 +31,8 @@ def bm25(posts: DataFrame, docs: DataFrame, doc: str, tokens: str, queries: Data
     weighed = hit.join(df, "term").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return weighed.select("term", "doc", part.alias("part")).join(wanted, "term").groupBy("qid", "doc").agg(F.sum("part").alias("score"))
+    grid = F.floor(part * float(1 << 24) + 0.5)
+    return weighed.select("term", "doc", grid.alias("part")).join(wanted, "term").groupBy("qid", "doc").agg((F.sum("part") / float(1 << 24)).alias("score"))
 
 
 def ranked(scores: DataFrame, score: str = "score", k: int | None = None) -> DataFrame:

@@ -11,7 +11,6 @@ above a probability are converted, the others are left for review.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -244,11 +243,5 @@ def p1_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return converted(spark, sf_dir, review_all=True).select("record_kind", "record_id", "parameter_code", "basis", "unit", "predicted", F.round("probability", 6).alias("probability"), "common_low", "common_high")
 
 
-def mean_log_distance(rows: DataFrame) -> float:
-    """Mean |log10| between predicted and printed factors: for judging a predictor."""
-    _, factor = _scale_of(F.col("predicted"))
-    return rows.agg(F.avg(F.abs(F.log10(factor) - F.log10("factor")))).first()[0] or math.nan
-
-
 QUERIES = {"p1_found": p1_found, "p1_units": p1_units}
 ORACLES: dict[str, str] = {}

@@ -35,11 +35,11 @@ def provenance_trace(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH w AS (SELECT page_id, count(DISTINCT work_id) AS works, min(work_id) AS work FROM nav_dup_members WHERE starts_with(work_id, 'VKM-WRK-') GROUP BY 1)
+WITH w AS (SELECT page_id, count(DISTINCT work_id) AS works, min(work_id) AS work FROM nav_dup_members WHERE regexp_matches(work_id, '^[A-Z]+-WRK-') GROUP BY 1)
 SELECT ev_id, CASE WHEN works = 1 THEN work END AS citing_work, CASE WHEN works IS NULL THEN 'NO_LINK' WHEN works = 1 THEN 'UNIQUE_LINK' ELSE 'AMBIGUOUS' END AS basis, coalesce(works, 0) AS candidates FROM ({_EV}) e LEFT JOIN w ON w.page_id = e.page_id""")
 def citing_work(t: Tables) -> DataFrame:
     """B-01: the work of an entry's page, if it has just one."""
-    w = t.nav_dup_members.filter(F.startswith("work_id", F.lit("VKM-WRK-"))).groupBy("page_id").agg(F.count_distinct("work_id").alias("works"), F.min("work_id").alias("work"))
+    w = t.nav_dup_members.filter(F.col("work_id").rlike("^[A-Z]+-WRK-")).groupBy("page_id").agg(F.count_distinct("work_id").alias("works"), F.min("work_id").alias("work"))
     e = current(t.spark, t.sf_dir, "passport_evidence", ["page_id"]).select("ev_id", "page_id").join(w, "page_id", "left")
     basis = F.when(F.col("works").isNull(), "NO_LINK").when(F.col("works") == 1, "UNIQUE_LINK").otherwise("AMBIGUOUS")
     return e.select("ev_id", F.when(F.col("works") == 1, F.col("work")).alias("citing_work"), basis.alias("basis"), F.coalesce("works", F.lit(0)).alias("candidates"))

@@ -167,13 +167,8 @@ def bm25_topk(t: Tables) -> DataFrame:
     """R-01: every twentieth document asks with all its words; scores are summed on a dyadic grid."""
     docs = _words(t)
     posts = retrieval.postings(docs, "doc_id", "w")
-    asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.explode(F.array_distinct("w")).alias("term"))
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    hit = posts.join(asked.select("term").distinct(), "term", "left_semi")
-    weighed = hit.join(hit.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").crossJoin(F.broadcast(size))
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    grid = F.floor(part * 16777216 + 0.5)
-    s = weighed.select("term", "doc", grid.alias("g")).join(asked, "term").filter("doc <> qid").groupBy("qid", "doc").agg((F.floor(F.sum("g") / 16777216 * 1e4 + 0.5) / 1e4).alias("score"))
+    asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("w").alias("terms"))
+    s = retrieval.bm25(posts, docs, "doc_id", "w", asked).filter("doc <> qid").withColumn("score", F.floor(F.col("score") * 1e4 + 0.5) / 1e4)
     return retrieval.ranked(s, k=5).select("qid", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
