@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoint import Workspace
@@ -38,11 +38,6 @@ def links_of_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo"), (x.isNotNull() & y.isNotNull()).alias("__whole")).filter("__whole and hi <> lo").drop("__whole")
 
 
-def _least(edges: DataFrame, by: str, weight: Column) -> DataFrame:
-    """Per node its least lower neighbour, and the number of edges that will look it up."""
-    return edges.groupBy(F.col("hi").alias(by)).agg(F.min("lo").alias("least"), weight.alias("weight"))
-
-
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     degrees = edges.select(F.col("hi").alias("lo"), F.col("lo").alias("below"), F.lit(0).alias("one")).unionByName(edges.select("lo", F.lit(None).cast("string").alias("below"), F.lit(1).alias("one")))
     least = degrees.groupBy("lo").agg(F.min("below").alias("least"), F.sum("one").alias("weight")).filter("least is not null")
@@ -51,7 +46,7 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
-    least = _least(edges, "hi", F.count(F.lit(1)))
+    least = edges.groupBy("hi").agg(F.min("lo").alias("least"), F.count(F.lit(1)).alias("weight"))
     joined = hot_split_join(edges, least, "hi", "least", "weight", total)
     both = joined.select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("least").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")))).alias("e"))
     return both.select("e.*").filter("hi <> lo")
