@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.common import round6, text_list
+from ..functions.sequences import alignment
 from ..functions.tables import table_cells_udtf
 from ..operators import vectors
 from ..tables import current
@@ -186,3 +187,20 @@ def evidence_aggregation(t: Tables) -> DataFrame:
     n = e.groupBy("parameter_code", "method_used").agg(F.count(F.lit(1)).alias("n"))
     c = n.withColumn("conf", F.col("n") / F.sum("n").over(Window.partitionBy("parameter_code")))
     return c.groupBy("parameter_code").agg(round6(1 - F.product(1 - F.col("conf"))).alias("score"), F.count(F.lit(1)).alias("methods"))
+
+
+@query()
+def quote_alignment(t: Tables) -> DataFrame:
+    """J-23, X-23: how well each quote fits anywhere on its page."""
+    p = current(t.spark, t.sf_dir, "pages", ["normalized_text"]).filter("normalized_text is not null").select("page_id", "normalized_text")
+    e = current(t.spark, t.sf_dir, "passport_evidence", ["quote", "page_id"]).filter("quote is not null").select("ev_id", "page_id", "quote")
+    return e.join(p, "page_id").select("ev_id", alignment(F.col("quote"), F.col("normalized_text")).alias("a")).select("ev_id", "a.distance", "a.ends")
+
+
+@query("""
+WITH p AS (SELECT table_id, row_no, min(n_numbers) AS v FROM (SELECT * FROM table_cells QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY created_at DESC NULLS LAST) = 1) WHERE n_numbers IS NOT NULL GROUP BY ALL), a AS (SELECT table_id, list(v ORDER BY row_no) AS v FROM p GROUP BY 1)
+SELECT table_id, len(list_filter(v, lambda x: x = 0)) AS zeros FROM a""")
+def zero_rows(t: Tables) -> DataFrame:
+    """X-14: rows of a table without any number."""
+    c = current(t.spark, t.sf_dir, "table_cells", ["table_id", "row_no", "n_numbers"]).filter("n_numbers is not null")
+    return c.groupBy("table_id", "row_no").agg(F.min("n_numbers").alias("v")).groupBy("table_id").agg(F.count_if(F.col("v") == 0).alias("zeros"))

@@ -51,3 +51,33 @@ def test_fusion_and_measures(spark):
     q = spark.createDataFrame([(1, 12, 3), (1, 11, 1), (1, 99, 2), (2, 5, 1)], "qid int, doc int, grade int")
     m = retrieval.measures(a, q, 2).collect()
     assert len(m) == 1 and m[0]["recall"] == 0 and m[0]["mrr"] == 0 and m[0]["judged"] == 0.5
+
+
+def test_sequences(spark):
+    import random
+
+    from brinework.functions import sequences as Q
+
+    assert Q.longest_ordered([3, 1, 2, 2, 5, 4]) == [1, 2, 3, 5] and Q.longest_ordered([]) == []
+
+    def brute(p, t):
+        best = min(((lev(p, t[i:j]), j) for i in range(len(t) + 1) for j in range(i, len(t) + 1)), key=lambda x: x)
+        return best[0]
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(4)
+    for _ in range(60):
+        p, t = ("".join(rng.choice("abc") for _ in range(rng.randint(0, n))) for n in (5, 9))
+        assert Q.best_substring(p, t)[0] == (brute(p, t) if p else 0)
+    assert Q.greedy_pairs([(0.9, "a", "x"), (0.8, "a", "y"), (0.8, "b", "x"), (0.5, "b", "y")]) == [("a", "x", 0.9), ("b", "y", 0.5)]
+    df = spark.createDataFrame([("соль", "камсоли"), (None, "x"), ("a", None)], "p string, t string")
+    assert sorted(r[0]["distance"] for r in df.select(Q.alignment(F.col("p"), F.col("t"))).collect()) == [0, 1, 1]
+    assert spark.createDataFrame([([2, 1, 3],)], "v array<int>").select(Q.ordered_length(F.col("v"))).first()[0] == 2
