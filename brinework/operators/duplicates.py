@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoint import Workspace
+from .skew import hot_split_join
 
 PERMUTATIONS, ROWS_PER_BAND = 96, 3
+#: Most units of a bucket, or of a block of one, that a cell compares.
+CELL = 1024
 
 
 def _signatures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -41,6 +44,31 @@ def star_candidates(bands: DataFrame, unit: str) -> DataFrame:
     return bands.join(least, ["band", "key"]).filter(F.col(unit) > F.col("a")).select("a", F.col(unit).alias("b")).distinct()
 
 
+def bucket_candidates(bands: DataFrame, sizes: DataFrame, unit: str, threshold: float) -> DataFrame:
+    """a < b: all units of a bucket with each other, unless their set sizes (unit, n) rule the Jaccard threshold out.
+
+    A bucket above CELL units is cut into cells of block against block, so no
+    task meets a whole hot bucket.
+    """
+    several = bands.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"), F.count(F.lit(1)).alias("units")).filter("units > 1").drop("units")
+    placed = bands.join(sizes, unit).join(several, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64(unit), "blocks").cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(unit, "n", "band", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    a = cells.select("band", "key", "low", "high", F.col(unit).alias("a"), F.col("n").alias("na"), F.col("block").alias("block_a"))
+    b = cells.select("band", "key", "low", "high", F.col(unit).alias("b"), F.col("n").alias("nb"), F.col("block").alias("block_b"))
+    met = a.join(b, ["band", "key", "low", "high"]).filter("a < b and (low = high or block_a <> block_b)")
+    return met.filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9).select("a", "b").distinct()
+
+
+def equal_sets(spark: SparkSession, units: DataFrame, unit: str, shingles: str) -> tuple[DataFrame, DataFrame]:
+    """Every distinct set under its least unit (unit, shingles), and (unit, first) of the units whose set several have."""
+    work = Workspace(spark, "sets")
+    keyed = units.select(unit, F.array_sort(shingles).alias(shingles))
+    keyed = work.cut(keyed.withColumn("k", F.struct(F.xxhash64(shingles), F.xxhash64(F.lit(7), shingles))), "keyed")
+    firsts = work.cut(keyed.groupBy("k").agg(F.min(F.struct(unit, shingles)).alias("r"), F.count(F.lit(1)).alias("n")).select("k", "r.*", "n"), "firsts")
+    several = firsts.filter("n > 1").select("k", F.col(unit).alias("first"), "n")
+    return firsts.select(unit, shingles), hot_split_join(keyed.select(unit, "k"), several, "k", "first", "n", keyed.count()).filter("first is not null").select(unit, "first")
+
+
 def verified(pairs: DataFrame, units: DataFrame, unit: str, shingles: str) -> DataFrame:
     """a, b, shared, containment, jaccard of candidate pairs (D-05, D-06), counted exactly."""
     j = pairs.join(units.select(F.col(unit).alias("a"), F.col(shingles).alias("x")), "a").join(units.select(F.col(unit).alias("b"), F.col(shingles).alias("y")), "b")

@@ -105,12 +105,19 @@ def dup_cluster_kinds(t: Tables) -> DataFrame:
 
 @query()
 def minhash_clusters(t: Tables) -> DataFrame:
-    """D-01 .. D-07: shingles of five words, bands, exact verification at 0.8, groups by least member."""
+    """D-01 .. D-07: shingles of five words, bands, exact verification at 0.8, groups by least member.
+
+    Equal sets are one; all others of a bucket meet.
+    """
     units = _words(t).select(F.col("doc_id").alias("u"), X.shingles(F.col("w"), 5).alias("s"))
     units = Workspace(t.spark, "minhash").cut(units.select("u", F.array_distinct(F.transform("s", lambda s: F.xxhash64(s))).alias("s")), "units").filter("size(s) > 0")
-    pairs = duplicates.star_candidates(duplicates.minhash_bands(units, "u", "s"), "u")
-    good = duplicates.verified(pairs, units, "u", "s").filter("jaccard >= 0.8")
-    return duplicates.label_propagation(t.spark, good.select("a", "b")).select(F.col("id").alias("doc_id"), F.col("label").alias("cluster_id"))
+    sets, copies = duplicates.equal_sets(t.spark, units, "u", "s")
+    bands = Workspace(t.spark, "minhash").cut(duplicates.minhash_bands(sets, "u", "s"), "bands")
+    pairs = duplicates.bucket_candidates(bands, sets.select("u", F.size("s").alias("n")), "u", 0.8)
+    good = duplicates.verified(pairs, sets, "u", "s").filter("jaccard >= 0.8")
+    labels = duplicates.label_propagation(t.spark, good.select("a", "b"))
+    of_copies = copies.join(labels.withColumnRenamed("id", "first"), "first", "left").select(F.col("u").alias("doc_id"), F.coalesce("label", "first").alias("cluster_id"))
+    return of_copies.unionByName(labels.join(copies, F.col("id") == F.col("u"), "left_anti").select(F.col("id").alias("doc_id"), F.col("label").alias("cluster_id")))
 
 
 @query(rf"""
