@@ -264,8 +264,18 @@ def fuzzy_name_match(t: Tables) -> DataFrame:
 WITH s AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-03-01')
 SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey""")
 def array_overlap_join(t: Tables) -> DataFrame:
-    """J-08: orders whose part lists meet."""
-    lists = t.lineitem.filter("l_shipdate < timestamp_ntz'1995-03-01'").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    """J-08: orders whose part lists meet, over the rows that the SQL states; ``array_overlap_all`` has all."""
+    return _overlapping_orders(t.lineitem.filter("l_shipdate < timestamp_ntz'1995-03-01'"))
+
+
+@query()
+def array_overlap_all(t: Tables) -> DataFrame:
+    """J-08: orders whose part lists meet, over all rows."""
+    return _overlapping_orders(t.lineitem)
+
+
+def _overlapping_orders(rows: DataFrame) -> DataFrame:
+    lists = rows.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
     return joins.array_overlap_join(lists.withColumnRenamed("l_orderkey", "a"), lists.withColumnRenamed("l_orderkey", "b").withColumnRenamed("parts", "others"), "a", "parts", "b", "others").filter("a < b")
 
 

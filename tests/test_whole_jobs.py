@@ -1,5 +1,6 @@
 """Cases that a query over a part of its input, or of its candidates, would miss."""
 
+from datetime import datetime
 from random import Random
 
 from brinework.operators import duplicates
@@ -28,3 +29,10 @@ def test_buckets_in_cells(spark, monkeypatch):
     bands = spark.range(50).selectExpr("id", "0 AS band", "1 AS key")
     sizes = spark.range(50).selectExpr("id", "if(id = 49, 100, 10) AS n")
     assert rows(duplicates.bucket_candidates(bands, sizes, "id", 0.8)) == [(a, b) for a in range(49) for b in range(a + 1, 49)]
+
+
+def test_overlaps_of_late_rows(spark, tables):
+    """Orders meet whatever their lines' dates."""
+    lines = [(1, 5, "1995-02-01"), (2, 5, "1999-07-01"), (3, 6, "2001-01-01"), (2, 6, "2001-01-02"), (4, 7, "1995-02-01"), (2, 5, "1999-07-02")]
+    path = tables(lineitem=[{"l_orderkey": o, "l_partkey": p, "l_shipdate": datetime.fromisoformat(d)} for o, p, d in lines])
+    assert rows(registry.queries()["array_overlap_all"](spark, path)) == [(1, 2), (2, 3)]
