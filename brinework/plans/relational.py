@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import dyadic, from_dyadic, round6, text_list
@@ -302,9 +302,22 @@ WITH RECURSIVE m AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 AND c_
 r AS (SELECT id, id AS final, 0 AS steps FROM m UNION ALL SELECT r.id, m.into_id, r.steps + 1 FROM r JOIN m ON m.id = r.final WHERE m.into_id IS NOT NULL AND r.steps < 16)
 SELECT id, final, steps::BIGINT AS steps FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY steps DESC) = 1""")
 def merged_chain(t: Tables) -> DataFrame:
-    """J-15: where each merged record ends, at most 16 steps on."""
-    m = t.customer.filter("c_custkey <= 130").select(F.col("c_custkey").alias("id"), F.when((F.col("c_custkey") % 7 != 0) & (F.col("c_custkey") > 8), F.col("c_custkey") - 8).alias("into_id"))
-    far = joins.closure(t.spark, m.dropna(), "id", "into_id", 16)
+    """J-15: where each merged record ends, at most 16 steps on, of the records that the SQL states; ``merged_chain_all`` has all."""
+    return _chain_ends(t.spark, t.customer.filter("c_custkey <= 130"))
+
+
+@query("""
+WITH RECURSIVE m AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 AND c_custkey > 8 THEN c_custkey - 8 END AS into_id FROM customer),
+r AS (SELECT id, id AS final, 0 AS steps FROM m UNION ALL SELECT r.id, m.into_id, r.steps + 1 FROM r JOIN m ON m.id = r.final WHERE m.into_id IS NOT NULL AND r.steps < 16)
+SELECT id, final, steps::BIGINT AS steps FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY steps DESC) = 1""")
+def merged_chain_all(t: Tables) -> DataFrame:
+    """J-15: where each merged record ends, at most 16 steps on, of all customers."""
+    return _chain_ends(t.spark, t.customer)
+
+
+def _chain_ends(spark: SparkSession, customers: DataFrame) -> DataFrame:
+    m = customers.select(F.col("c_custkey").alias("id"), F.when((F.col("c_custkey") % 7 != 0) & (F.col("c_custkey") > 8), F.col("c_custkey") - 8).alias("into_id"))
+    far = joins.closure(spark, m.dropna(), "id", "into_id", 16)
     last = far.groupBy(F.col("src").alias("id")).agg(F.max(F.struct("steps", "dst")).alias("e"))
     return m.join(last, "id", "left").select("id", F.coalesce("e.dst", "id").alias("final"), F.coalesce("e.steps", F.lit(0)).cast("long").alias("steps"))
 
@@ -333,8 +346,20 @@ def latest_version_join(t: Tables) -> DataFrame:
 WITH s AS (SELECT a.p_partkey AS a, b.s_suppkey AS b, (a.p_partkey * 7919 + b.s_suppkey * 104729) % 9973 AS score FROM part a JOIN supplier b ON a.p_size % 5 = b.s_nationkey % 5 WHERE a.p_partkey <= 300)
 SELECT a, b, score FROM s QUALIFY rank() OVER (PARTITION BY a ORDER BY score DESC) = 1 AND rank() OVER (PARTITION BY b ORDER BY score DESC) = 1""")
 def mutual_best_pairs(t: Tables) -> DataFrame:
-    """J-21."""
-    p, s = t.part.filter("p_partkey <= 300").select(F.col("p_partkey").alias("a"), (F.col("p_size") % 5).alias("k")), t.supplier.select(F.col("s_suppkey").alias("b"), (F.col("s_nationkey") % 5).alias("k"))
+    """J-21, of the parts that the SQL states; ``mutual_best_all`` has all."""
+    return _mutual_best(t.part.filter("p_partkey <= 300"), t.supplier)
+
+
+@query("""
+WITH s AS (SELECT a.p_partkey AS a, b.s_suppkey AS b, (a.p_partkey * 7919 + b.s_suppkey * 104729) % 9973 AS score FROM part a JOIN supplier b ON a.p_size % 5 = b.s_nationkey % 5)
+SELECT a, b, score FROM s QUALIFY rank() OVER (PARTITION BY a ORDER BY score DESC) = 1 AND rank() OVER (PARTITION BY b ORDER BY score DESC) = 1""")
+def mutual_best_all(t: Tables) -> DataFrame:
+    """J-21, of all parts and suppliers."""
+    return _mutual_best(t.part, t.supplier)
+
+
+def _mutual_best(parts: DataFrame, suppliers: DataFrame) -> DataFrame:
+    p, s = parts.select(F.col("p_partkey").alias("a"), (F.col("p_size") % 5).alias("k")), suppliers.select(F.col("s_suppkey").alias("b"), (F.col("s_nationkey") % 5).alias("k"))
     scored = p.join(s, "k").select("a", "b", ((F.col("a") * 7919 + F.col("b") * 104729) % 9973).alias("score"))
     return joins.mutual_best(scored, "a", "b", "score")
 

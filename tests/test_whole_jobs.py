@@ -36,3 +36,12 @@ def test_overlaps_of_late_rows(spark, tables):
     lines = [(1, 5, "1995-02-01"), (2, 5, "1999-07-01"), (3, 6, "2001-01-01"), (2, 6, "2001-01-02"), (4, 7, "1995-02-01"), (2, 5, "1999-07-02")]
     path = tables(lineitem=[{"l_orderkey": o, "l_partkey": p, "l_shipdate": datetime.fromisoformat(d)} for o, p, d in lines])
     assert rows(registry.queries()["array_overlap_all"](spark, path)) == [(1, 2), (2, 3)]
+
+
+def test_chains_and_best_pairs_of_all_keys(spark, tables):
+    """Customers above 130 end somewhere, parts above 300 count for both sides."""
+    score = lambda k: (k * 7919 + 104729) % 9973
+    top = max(range(301, 400), key=score)
+    path = tables(customer=[{"c_custkey": k} for k in (140, 148, 156)], part=[{"p_partkey": k, "p_size": 5} for k in (1, 2, top)], supplier=[{"s_suppkey": 1, "s_nationkey": 0}])
+    assert rows(registry.queries()["merged_chain_all"](spark, path)) == [(140, 140, 0), (148, 140, 1), (156, 140, 2)]
+    assert score(top) > score(1) > score(2) and rows(registry.queries()["mutual_best_all"](spark, path)) == [(top, 1, score(top))]
