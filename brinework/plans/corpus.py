@@ -109,13 +109,28 @@ WITH p AS (SELECT vec_id % 2 AS side, vec_id, embedding::DOUBLE[] AS v FROM embe
 ra AS (SELECT a, avg(c) AS r FROM (SELECT a, c FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5) GROUP BY 1), rb AS (SELECT b, avg(c) AS r FROM (SELECT b, c FROM s QUALIFY row_number() OVER (PARTITION BY b ORDER BY c DESC, a) <= 5) GROUP BY 1),
 k AS (SELECT a, b, floor((2 * c - ra.r - rb.r) * 1e6 + 0.5) / 1e6 AS csls FROM s JOIN ra USING (a) JOIN rb USING (b)) SELECT a, b, csls FROM k QUALIFY rank() OVER (PARTITION BY a ORDER BY csls DESC) = 1""")
 def csls_best(t: Tables) -> DataFrame:
-    """K-21: for each stated vector the best of the other side after its neighbourhood's level is taken off."""
+    """K-21 with the neighbourhood of side b over the vectors that the SQL states; ``csls_best_all`` has all."""
     e = t.embeddings.select("vec_id", F.col("embedding").alias("v"))
-    a, b = e.filter("vec_id % 20 = 0"), e.filter("vec_id % 2 = 1")
+    a = e.filter("vec_id % 20 = 0")
+    return _csls_best(a, e.filter("vec_id % 2 = 1"), a)
+
+
+@query("""
+WITH p AS (SELECT vec_id % 2 AS side, vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS a, b.vec_id AS b, floor(list_inner_product(a.v, b.v) * 1e6 + 0.5) / 1e6 AS c FROM p a JOIN p b ON a.side = 0 AND b.side = 1),
+ra AS (SELECT a, avg(c) AS r FROM (SELECT a, c FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5) GROUP BY 1), rb AS (SELECT b, avg(c) AS r FROM (SELECT b, c FROM s QUALIFY row_number() OVER (PARTITION BY b ORDER BY c DESC, a) <= 5) GROUP BY 1),
+k AS (SELECT a, b, floor((2 * c - ra.r - rb.r) * 1e6 + 0.5) / 1e6 AS csls FROM s JOIN ra USING (a) JOIN rb USING (b) WHERE a % 20 = 0) SELECT a, b, csls FROM k QUALIFY rank() OVER (PARTITION BY a ORDER BY csls DESC) = 1""")
+def csls_best_all(t: Tables) -> DataFrame:
+    """K-21: for every 20th vector the best of the other side after both neighbourhoods' levels, each over the whole other side, are taken off."""
+    e = t.embeddings.select("vec_id", F.col("embedding").alias("v"))
+    return _csls_best(e.filter("vec_id % 20 = 0"), e.filter("vec_id % 2 = 1"), e.filter("vec_id % 2 = 0"))
+
+
+def _csls_best(a: DataFrame, b: DataFrame, side_a: DataFrame) -> DataFrame:
+    """The best of b for each of a; the neighbours of b are sought in all of side_a."""
     n = 1 << 30
     pairs = vectors.search(a, b, "vec_id", "v", n, False).select(F.col("qid").alias("a"), F.col("doc").alias("b"), F.col("score").alias("c"), "rank")
     ra = pairs.filter("rank <= 5").groupBy("a").agg(F.avg("c").alias("ra"))
-    rb = vectors.search(b, a, "vec_id", "v", 5, False).groupBy(F.col("qid").alias("b")).agg(F.avg("score").alias("rb"))
+    rb = vectors.search(b, side_a, "vec_id", "v", 5, False).groupBy(F.col("qid").alias("b")).agg(F.avg("score").alias("rb"))
     k = pairs.join(ra, "a").join(rb, "b").select("a", "b", round6(2 * F.col("c") - F.col("ra") - F.col("rb")).alias("csls"))
     return k.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("csls")))).filter("r = 1").drop("r")
 

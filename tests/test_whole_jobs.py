@@ -45,3 +45,12 @@ def test_chains_and_best_pairs_of_all_keys(spark, tables):
     path = tables(customer=[{"c_custkey": k} for k in (140, 148, 156)], part=[{"p_partkey": k, "p_size": 5} for k in (1, 2, top)], supplier=[{"s_suppkey": 1, "s_nationkey": 0}])
     assert rows(registry.queries()["merged_chain_all"](spark, path)) == [(140, 140, 0), (148, 140, 1), (156, 140, 2)]
     assert score(top) > score(1) > score(2) and rows(registry.queries()["mutual_best_all"](spark, path)) == [(top, 1, score(top))]
+
+
+def test_levels_over_the_whole_side(spark, tables):
+    """An even vector that isn't asked for still makes an odd one a hub."""
+    vectors = {0: (1.0, 0.0), 1: (0.9, 0.9), 3: (0.8, 0.0), 2: (0.0, 1.0)}
+    path = tables(embeddings=[{"vec_id": k, "embedding": [float(x) for x in v]} for k, v in vectors.items()])
+    # Levels: vector 0 has 0.85; vector 1 has (0.9 + 0.9) / 2, vector 3 has (0.8 + 0) / 2.
+    assert rows(registry.queries()["csls_best_all"](spark, path)) == [(0, 3, round(1.6 - 0.85 - 0.4, 6))]
+    assert rows(registry.queries()["csls_best"](spark, path))[0][1] != 3
