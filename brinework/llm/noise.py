@@ -1,6 +1,8 @@
 """Problem 3: noise in text from scanned pages.
 
-Three averaged perceptrons, fitted on bounded samples of the corpus itself:
+Three averaged perceptrons, fitted on bounded samples of the corpus itself; the
+words that clean pages have and the forms of running heads are counted over all
+pages and blocks:
 
 * an editor of characters (keep, replace, delete, insert) for words that clean
   pages don't have, learning from clean words damaged by the confusions mined
@@ -33,7 +35,7 @@ from ..tables import current, hash_sample, load
 CLEAN_PAGES, SCANNED_PAGES, BLOCKS = 5_000, 3_000, 20_000
 #: Words the editor learns from, and rounds over them.
 EDITED_WORDS, ROUNDS = 9_000, 4
-#: A form is a running head if at least so many sampled blocks of it, and this part of them, are typed as heads or feet.
+#: A form is a running head if at least so many blocks of it, and this part of them, are typed as heads or feet.
 HEAD_LEAST, HEAD_SHARE = 3, 0.2
 #: Part of a head's characters that may be misread.
 HEAD_NOISE = 0.25
@@ -210,11 +212,24 @@ def _substituted(w: str, lexicon: Lexicon) -> tuple[str, list[tuple[str, str]]]
     return clean, [(seen, meant), (str(i), str(width))]
 
 
-def fit(clean: list[str], scanned: list[str], blocks: list[tuple[str, str, int, int]], seed: int = 11) -> Model:
+def page_words(text: str) -> Iterator[str]:
+    """Keys of a page's words, as the lexicon counts them."""
+    for t in TOKEN.findall(text):
+        if w := t.strip(_EDGE):
+            yield key_of(w)
+
+
+def may_be_head(form: tuple[str, ...]) -> bool:
+    return 2 <= len(form) <= 10 and sum(map(len, form)) >= 8 and any(c.isalpha() for w in form for c in w)
+
+
+def fit(clean: list[str], scanned: list[str], blocks: list[tuple[str, str, int, int]], seed: int = 11, words: dict[str, int] | None = None, head_forms: list[tuple[str, ...]] | None = None) -> Model:
     """Fits all three perceptrons.
 
     clean, scanned: texts of pages; blocks: (block_type, text, from top, from
-    bottom) of short blocks.  Any of them may be empty.
+    bottom) of short blocks.  Any of them may be empty.  words, head_forms: the
+    words of all clean pages and the forms of all running heads; without them
+    those of the given texts and blocks.
     """
     random = Random(seed)
     counts: Counter[str] = Counter()
@@ -233,7 +248,7 @@ def fit(clean: list[str], scanned: list[str], blocks: list[tuple[str, str, int,
                 hanging[w[:-1], u.strip(_EDGE)] += 1
             elif "-" in w.strip("-"):
                 hyphened[w] += 1
-    lexicon = Lexicon(dict(counts)).open()
+    lexicon = Lexicon(dict(counts) if words is None else words).open()
 
     # Confusions: what scans show where clean words have something else.
     confusions: Counter[tuple[str, str]] = Counter()
@@ -244,7 +259,7 @@ def fit(clean: list[str], scanned: list[str], blocks: list[tuple[str, str, int,
             w = t.strip(_EDGE)
             k = key_of(w)
             raw = w.lower()
-            if len(raw) < 4 or k in counts or w[-1:] in MARKS or before[-1:] in MARKS or not any(c.isalpha() for c in w):
+            if len(raw) < 4 or k in lexicon.words or w[-1:] in MARKS or before[-1:] in MARKS or not any(c.isalpha() for c in w):
                 continue
             if one := _substituted(raw, lexicon):
                 (seen, meant), (i, width) = one[1]
@@ -260,9 +275,9 @@ def fit(clean: list[str], scanned: list[str], blocks: list[tuple[str, str, int,
         if n > confusions.get((seen, targets.get(seen, "")), 0):
             targets[seen] = meant
 
-    words = [w for w in counts if 3 < len(w) <= LONGEST_WORD and any(c.isalpha() for c in w)]
-    words.sort(key=lambda w: (-counts[w], w))
-    chosen = words[: EDITED_WORDS // 3] + random.sample(words, min(len(words), EDITED_WORDS // 3))
+    learnt = [w for w in counts if 3 < len(w) <= LONGEST_WORD and any(c.isalpha() for c in w)]
+    learnt.sort(key=lambda w: (-counts[w], w))
+    chosen = learnt[: EDITED_WORDS // 3] + random.sample(learnt, min(len(learnt), EDITED_WORDS // 3))
     examples: list[tuple[list[str], str]] = []
     for w in chosen:
         shown = cased[w]
@@ -289,7 +304,7 @@ def fit(clean: list[str], scanned: list[str], blocks: list[tuple[str, str, int,
     editor = Perceptron(("KEEP", "REPLACE", "DELETE", "INSERT")).fit(examples)
 
     joins: list[tuple[list[str], str]] = []
-    for w in random.sample(words, min(len(words), 3000)):
+    for w in random.sample(learnt, min(len(learnt), 3000)):
         w = cased[w]
         if len(w) > 4 and w.isalpha():
             for mark in ("-", "­"):
@@ -306,10 +321,12 @@ def fit(clean: list[str], scanned: list[str], blocks: list[tuple[str, str, int,
     forms: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
     for kind, text, _, _ in blocks:
         form = head_form(text)
-        if 2 <= len(form) <= 10 and sum(map(len, form)) >= 8 and any(c.isalpha() for w in form for c in w):
+        if may_be_head(form):
             forms[form][0] += 1
             forms[form][1] += kind in ("PAGE_HEADER", "PAGE_FOOTER")
-    heads = {" ".join(f): f for f, (n, h) in forms.items() if h >= HEAD_LEAST and h >= HEAD_SHARE * n}
+    if head_forms is None:
+        head_forms = [f for f, (n, h) in forms.items() if h >= HEAD_LEAST and h >= HEAD_SHARE * n]
+    heads = {" ".join(f): f for f in head_forms}
 
     shapes: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for kind, text, _, _ in blocks:
@@ -595,8 +612,40 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(blocks).filter("text is not null and record_id is not null").withColumn("scanned", F.coalesce("scanned", F.lit(False)))
 
 
+def all_words(pages: DataFrame) -> dict[str, int]:
+    """Every word of the clean pages and its count; grows as the vocabulary does."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch["normalized_text"]:
+                n.update(page_words(text))
+            if len(n) > 200_000:
+                yield pd.DataFrame({"w": list(n.keys()), "n": list(n.values())})
+                n.clear()
+        if n:
+            yield pd.DataFrame({"w": list(n.keys()), "n": list(n.values())})
+
+    counted = pages.select("normalized_text").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).toPandas()
+    return dict(sorted(zip(counted["w"], map(int, counted["n"]), strict=True)))
+
+
+def all_heads(blocks: DataFrame) -> list[tuple[str, ...]]:
+    """Forms of running heads among all short blocks."""
+
+    def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(" ".join(f), kind in ("PAGE_HEADER", "PAGE_FOOTER")) for kind, text in zip(batch["block_type"], batch["normalized_text"], strict=True) if may_be_head(f := head_form(text))]
+            if rows:
+                yield pd.DataFrame(rows, columns=["form", "head"])
+
+    counted = blocks.select("block_type", "normalized_text").mapInPandas(form, "form string, head boolean").groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.count_if("head").alias("h"))
+    kept = counted.filter((F.col("h") >= HEAD_LEAST) & (F.col("h") >= HEAD_SHARE * F.col("n")))
+    return [tuple(r[0].split(" ")) for r in sorted(kept.select("form").collect())]
+
+
 def fitted(spark: SparkSession, sf_dir: str) -> Model:
-    """The model of a corpus, fitted on the documented samples."""
+    """The model of a corpus: perceptrons fitted on the documented samples, words and heads of all pages and blocks."""
     pages = load(spark, sf_dir, "pages").filter("normalized_text is not null").select("page_id", "normalized_text", F.coalesce(F.col("primary_text_layer").contains("OCR"), F.lit(False)).alias("scanned"))
     clean = [r[0] for r in hash_sample(pages.filter("not scanned"), ["page_id"], CLEAN_PAGES).select("normalized_text").collect()]
     scanned = [r[0] for r in hash_sample(pages.filter("scanned"), ["page_id"], SCANNED_PAGES).select("normalized_text").collect()]
@@ -606,7 +655,7 @@ def fitted(spark: SparkSession, sf_dir: str) -> Model:
     last: dict[str, int] = {}
     for r in rows:
         last[r[3]] = max(last.get(r[3], 0), r[2])
-    return fit(sorted(clean), sorted(scanned), [(r[0] or "", r[1], r[2], last[r[3]] - r[2]) for r in rows])
+    return fit(sorted(clean), sorted(scanned), [(r[0] or "", r[1], r[2], last[r[3]] - r[2]) for r in rows], words=all_words(pages.filter("not scanned")), head_forms=all_heads(blocks))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
