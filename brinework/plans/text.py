@@ -105,7 +105,7 @@ def dup_cluster_kinds(t: Tables) -> DataFrame:
 
 @query()
 def minhash_clusters(t: Tables) -> DataFrame:
-    """D-01 .. D-07: shingles of five words, bands, exact verification at 0.8, groups by least member.
+    """D-01 .. D-03, D-05 .. D-07: shingles of five words, bands, exact verification at 0.8, groups by least member.
 
     Equal sets are one; all others of a bucket meet.
     """
