@@ -55,5 +55,48 @@ def test_whole_fixed_length_records_are_no_cases(spark):
 def test_rules():
     assert U.bare("x. \n--\n [...] ") == "x."
     assert U.closed("Да!»") and not U.closed("Да")
-    assert U.stop_of("Начало. Середина без кон\n\n© Фонд 12", {"© Фонд 0"}) == ("Начало. Середина без кон", True)
-    assert U.stop_of("Начало.\n\n© Фонд 12", {"© Фонд 0"}) == ("Начало.\n\n© Фонд 12", False)
+
+    def stop(t, *endings):
+        end, inside = U.stop_of(t, U.by_leading((U.leading(e), U.key_of(e)) for e in endings))
+        return t[:end], inside
+
+    assert stop("Начало. Середина без кон\n\n© Фонд 12", "© Фонд 0") == ("Начало. Середина без кон", True)
+    assert stop("Начало.\n\n© Фонд 12", "© Фонд 0") == ("Начало.\n\n© Фонд 12", False)
+    assert stop("Начало. Середина без кон...") == stop("Начало. Середина без кон …") == ("Начало. Середина без кон", True)
+    assert stop("Всё сказано. ...") == ("Всё сказано.", False) and stop("Всё сказано!…") == ("Всё сказано!", False)
+    # Any number of shared endings, of any length.
+    note = "Примечание " + "о порядке хранения дел " * 20
+    assert stop("Начало. Середина без кон" + f"\n{note}" * 9, note.strip()) == ("Начало. Середина без кон", True)
+
+
+def test_ellipsis_at_limits(spark):
+    rng = random.Random(5)
+    rows, want, limit = [], set(), set()
+
+    def add(source, t, cut, at_limit=False):
+        rows.append((len(rows), source, t))
+        if cut:
+            want.add(len(rows) - 1)
+            if at_limit:
+                limit.add(len(rows) - 1)
+
+    for _ in range(60):
+        long = text(rng, 14)
+        for source, core, mark in (("inside", long[:297], "..."), ("behind", long[:300], "..."), ("sign", long[:299], "…")):
+            add(source, core + mark, not U.closed(U.bare(core)), True)
+        whole = text(rng, rng.randint(2, 9))
+        add(rng.choice(["inside", "behind", "sign"]), whole, False)
+        add("talk", whole + " ...", False)
+        add("talk", whole[:-1] + "!…", False)
+    got = {r["doc_id"]: r["kind"] for r in U.truncated(spark, spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert {i for i, k in got.items() if k} == want
+    assert all(got[i] == "LIMIT" for i in limit)
+
+
+def test_one_source_in_a_corpus_of_any_size(spark):
+    rng = random.Random(6)
+    few = [("small", text(rng, rng.randint(2, 6)) + f"\n\nДело {i}, опись 4") for i in range(12)]
+    for others in (0, 15000):
+        rows = [(i, s, t) for i, (s, t) in enumerate(few + [("large", text(rng, 1)[:-1] + f" {i}.") for i in range(others)])]
+        out = U.truncated(spark, spark.createDataFrame(rows, "doc_id long, source string, text string"))
+        assert out.filter("kind is not null").count() == 0
