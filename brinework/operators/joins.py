@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,16 +51,19 @@ def latest_before(left: DataFrame, right: DataFrame, key: str, at: str, stamp: s
     return seen.select(key, "__l.*", *(F.col("__last")[c].alias(c) for c in kept))
 
 
-def closure(spark: SparkSession, edges: DataFrame, src: str, dst: str, max_steps: int = 16) -> DataFrame:
-    """Transitive closure (J-15): src, dst, steps (least), up to ``max_steps``; cycles end by themselves.
+def closure(spark: SparkSession, edges: DataFrame, src: str, dst: str, max_steps: int | None = None) -> DataFrame:
+    """Transitive closure (J-15): src, dst, steps (least); ``max_steps`` is for questions about near pairs only.
 
-    Only pairs that are new go into the next step; each step is cut to the
+    Runs until a step finds no new pair, so cycles end by themselves.  Only
+    pairs that are new go into the next step; each step is cut to the
     checkpoint folder.
     """
     work = Workspace(spark, "closure")
     base = work.cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src <> dst").distinct(), "edges")
     known = frontier = work.cut(base.withColumn("steps", F.lit(1).cast("long")), "known1")
-    for step in range(2, max_steps + 1):
+    for step in count(2):
+        if max_steps is not None and step > max_steps:
+            break
         hop = frontier.select("src", F.col("dst").alias("via")).join(base.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").filter("src <> dst").distinct()
         frontier = work.cut(hop.join(known, ["src", "dst"], "left_anti").withColumn("steps", F.lit(step).cast("long")), f"new{step}")
         if frontier.isEmpty():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.common import round6, text_list
-from ..functions.sequences import alignment
+from ..functions.sequences import alignment, greedy_matching, ordered_length
 from ..functions.tables import table_cells_udtf
 from ..operators import vectors
 from ..tables import current
@@ -74,7 +74,7 @@ def known_physical(t: Tables) -> DataFrame:
 
 
 _HEADS = r"""h AS (SELECT DISTINCT b.source_id, p.page_index, b.reading_order, b.object_id, b.normalized_text AS title, CASE WHEN regexp_matches(b.normalized_text, '^[0-9]+\.[0-9]+ \p{Lu}') THEN 2 ELSE 1 END AS level FROM blocks b JOIN (""" + _PG + r""") p ON p.page_id = b.page_id
- WHERE length(b.normalized_text) < 80 AND (regexp_matches(b.normalized_text, '^[0-9]+\.[0-9]+ \p{Lu}') OR regexp_matches(b.normalized_text, '^(Глава|Раздел|Section|Chapter|Kapitel) [0-9]+')))"""
+ WHERE regexp_matches(b.normalized_text, '^[0-9]+\.[0-9]+ \p{Lu}') OR regexp_matches(b.normalized_text, '^(Глава|Раздел|Section|Chapter|Kapitel) [0-9]+'))"""
 
 
 @query(f"""WITH {_HEADS} SELECT object_id, level::BIGINT AS level, page_index::BIGINT AS first_page, coalesce(CASE WHEN level = 2 THEN lead(page_index) OVER w ELSE min(page_index) FILTER (WHERE level = 1) OVER (PARTITION BY source_id ORDER BY page_index, reading_order, object_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) END, 1000000)::BIGINT AS next_page,
@@ -83,7 +83,7 @@ def section_tree(t: Tables) -> DataFrame:
     """K-26, X-19: sections with their end - the next of the same level or above - and their chapter, by windows alone."""
     numbered, chapter = F.col("title").rlike(r"^[0-9]+\.[0-9]+ \p{Lu}"), F.col("title").rlike(r"^(Глава|Раздел|Section|Chapter|Kapitel) [0-9]+")
     pages = current(t.spark, t.sf_dir, "pages", ["page_index"]).select("page_id", "page_index")
-    b = t.blocks.filter("length(normalized_text) < 80").select("source_id", "page_id", "reading_order", "object_id", F.col("normalized_text").alias("title")).filter(numbered | chapter).distinct()
+    b = t.blocks.select("source_id", "page_id", "reading_order", "object_id", F.col("normalized_text").alias("title")).filter(numbered | chapter).distinct()
     h = b.join(pages, "page_id").withColumn("level", F.when(numbered, 2).otherwise(1))
     w = Window.partitionBy("source_id").orderBy("page_index", "reading_order", "object_id")
     top = F.when(F.col("level") == 1, F.col("page_index"))
@@ -104,17 +104,6 @@ def late_reorder(t: Tables) -> DataFrame:
     return s.join(c, ["qid", "kind", "i"]).select("qid", "doc", "slot")
 
 
-@query("""
-WITH p AS (SELECT vec_id % 2 AS side, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0 OR vec_id % 2 = 1), s AS (SELECT a.vec_id AS a, b.vec_id AS b, floor(list_inner_product(a.v, b.v) * 1e6 + 0.5) / 1e6 AS c FROM p a JOIN p b ON a.side = 0 AND b.side = 1),
-ra AS (SELECT a, avg(c) AS r FROM (SELECT a, c FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5) GROUP BY 1), rb AS (SELECT b, avg(c) AS r FROM (SELECT b, c FROM s QUALIFY row_number() OVER (PARTITION BY b ORDER BY c DESC, a) <= 5) GROUP BY 1),
-k AS (SELECT a, b, floor((2 * c - ra.r - rb.r) * 1e6 + 0.5) / 1e6 AS csls FROM s JOIN ra USING (a) JOIN rb USING (b)) SELECT a, b, csls FROM k QUALIFY rank() OVER (PARTITION BY a ORDER BY csls DESC) = 1""")
-def csls_best(t: Tables) -> DataFrame:
-    """K-21 with the neighbourhood of side b over the vectors that the SQL states; ``csls_best_all`` has all."""
-    e = t.embeddings.select("vec_id", F.col("embedding").alias("v"))
-    a = e.filter("vec_id % 20 = 0")
-    return _csls_best(a, e.filter("vec_id % 2 = 1"), a)
-
-
 @query("""
 WITH p AS (SELECT vec_id % 2 AS side, vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS a, b.vec_id AS b, floor(list_inner_product(a.v, b.v) * 1e6 + 0.5) / 1e6 AS c FROM p a JOIN p b ON a.side = 0 AND b.side = 1),
 ra AS (SELECT a, avg(c) AS r FROM (SELECT a, c FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5) GROUP BY 1), rb AS (SELECT b, avg(c) AS r FROM (SELECT b, c FROM s QUALIFY row_number() OVER (PARTITION BY b ORDER BY c DESC, a) <= 5) GROUP BY 1),
@@ -194,11 +183,11 @@ def aligned_offsets(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT parameter_code AS p, method_used AS m, count(*) AS n FROM (""" + _EV + """) WHERE starts_with(copy_role, 'COPY') AND method_used IS NOT NULL GROUP BY ALL), c AS (SELECT p, m, n / sum(n) OVER (PARTITION BY p) AS conf FROM e)
+WITH e AS (SELECT parameter_code AS p, method_used AS m, count(*) AS n FROM (""" + _EV + """) WHERE method_used IS NOT NULL GROUP BY ALL), c AS (SELECT p, m, n / sum(n) OVER (PARTITION BY p) AS conf FROM e)
 SELECT p AS parameter_code, floor((1 - product(1 - conf)) * 1e6 + 0.5) / 1e6 AS score, count(*) AS methods FROM c GROUP BY 1""")
 def evidence_aggregation(t: Tables) -> DataFrame:
     """K-22, A-16: confidences of several methods as one score."""
-    e = current(t.spark, t.sf_dir, "passport_evidence", ["parameter_code", "method_used", "copy_role"]).filter(F.startswith("copy_role", F.lit("COPY")) & F.col("method_used").isNotNull())
+    e = current(t.spark, t.sf_dir, "passport_evidence", ["parameter_code", "method_used"]).filter(F.col("method_used").isNotNull())
     n = e.groupBy("parameter_code", "method_used").agg(F.count(F.lit(1)).alias("n"))
     c = n.withColumn("conf", F.col("n") / F.sum("n").over(Window.partitionBy("parameter_code")))
     return c.groupBy("parameter_code").agg(round6(1 - F.product(1 - F.col("conf"))).alias("score"), F.count(F.lit(1)).alias("methods"))
@@ -219,3 +208,40 @@ def zero_rows(t: Tables) -> DataFrame:
     """X-14: rows of a table without any number."""
     c = current(t.spark, t.sf_dir, "table_cells", ["table_id", "row_no", "n_numbers"]).filter("n_numbers is not null")
     return c.groupBy("table_id", "row_no").agg(F.min("n_numbers").alias("v")).groupBy("table_id").agg(F.count_if(F.col("v") == 0).alias("zeros"))
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, o_totalprice AS v FROM orders),
+r AS (SELECT k, i, v, 1 AS n FROM o UNION SELECT r.k, o.i, o.v, r.n + 1 FROM r JOIN o ON o.k = r.k AND o.i > r.i AND o.v >= r.v)
+SELECT k AS o_custkey, max(n)::BIGINT AS longest FROM r GROUP BY 1""")
+def ordered_stretch(t: Tables) -> DataFrame:
+    """W-11: the longest non-decreasing run of amounts among each customer's orders, others between them left out."""
+    lists = t.orders.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))), lambda s: s["o_totalprice"]).alias("v"))
+    return lists.select("o_custkey", ordered_length(F.col("v")).cast("long").alias("longest"))
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT n_regionkey AS k, s_suppkey AS a, c_nationkey AS b, s_acctbal AS score FROM (SELECT n_regionkey, s_suppkey, s_nationkey, s_acctbal FROM supplier JOIN nation ON n_nationkey = s_nationkey) JOIN (SELECT DISTINCT c_nationkey, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey) ON r = n_regionkey),
+l AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY score DESC, a::VARCHAR, b::VARCHAR) AS i, a, b, score FROM s),
+m AS (SELECT k, 0::BIGINT AS i, []::VARCHAR[] AS used, NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::DOUBLE AS score FROM (SELECT DISTINCT k FROM l) UNION ALL
+ SELECT m.k, l.i, CASE WHEN list_contains(used, 'a' || l.a) OR list_contains(used, 'b' || l.b) THEN used ELSE used || ['a' || l.a, 'b' || l.b] END, CASE WHEN NOT (list_contains(used, 'a' || l.a) OR list_contains(used, 'b' || l.b)) THEN l.a::VARCHAR END, l.b::VARCHAR, l.score FROM m JOIN l ON l.k = m.k AND l.i = m.i + 1)
+SELECT k AS regionkey, a, b, score FROM m WHERE a IS NOT NULL""")
+def greedy_assignment(t: Tables) -> DataFrame:
+    """J-22: within a region each supplier gets one nation with customers at most, the richest suppliers first."""
+    n = t.nation.select("n_nationkey", "n_regionkey")
+    a = t.supplier.join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_regionkey").alias("k"), F.col("s_suppkey").cast("string").alias("a"), F.col("s_acctbal").alias("score"))
+    b = t.customer.select("c_nationkey").distinct().join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("n_regionkey").alias("k"), F.col("c_nationkey").cast("string").alias("b"))
+    # A region has few nations, so no more suppliers than that can be matched: the best of them suffice.
+    best = Window.partitionBy("k").orderBy(F.desc("score"), "a")
+    a = a.join(F.broadcast(b.groupBy("k").agg(F.count(F.lit(1)).alias("most"))), "k").withColumn("r", F.row_number().over(best)).filter("r <= most").drop("r", "most")
+    lists = a.join(b, "k").groupBy("k").agg(F.collect_list(F.struct("score", "a", "b")).alias("c"))
+    return lists.select(F.col("k").alias("regionkey"), F.explode(greedy_matching(F.col("c"))).alias("x")).select("regionkey", "x.a", "x.b", "x.score")
+
+
+@query(r"""
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+\.[0-9A-Za-z_.]+', '[mail]', 'g'), '(?i)\b(key|token|secret|password)\s*[=:]\s*\S+', '[secret]', 'g'), '/(home|Users)/[^/\s]+', '[home]', 'g')) AS h
+FROM (SELECT doc_id, text || ' ' || coalesce(source, '-') || '@site.org token=' || doc_id || ' /home/u' || doc_id || '/x' AS t FROM documents WHERE text IS NOT NULL)""")
+def redacted_texts(t: Tables) -> DataFrame:
+    """X-27: addresses, tokens and home folders, one of each put behind every text, come out."""
+    shown = F.concat("text", F.lit(" "), F.coalesce("source", F.lit("-")), F.lit("@site.org token="), "doc_id", F.lit(" /home/u"), "doc_id", F.lit("/x"))
+    return t.documents.filter("text is not null").select("doc_id", F.md5(X.redacted(shown)).alias("h"))

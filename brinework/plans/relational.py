@@ -260,15 +260,7 @@ def fuzzy_name_match(t: Tables) -> DataFrame:
     return joins.fuzzy_join(n, n, "p_partkey", "p_partkey", "p_name", "p_name", "block", 0.5).filter("a < b").select("a", "b", round6(F.col("similarity")).alias("similarity"))
 
 
-@query("""
-WITH s AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-03-01')
-SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey""")
-def array_overlap_join(t: Tables) -> DataFrame:
-    """J-08: orders whose part lists meet, over the rows that the SQL states; ``array_overlap_all`` has all."""
-    return _overlapping_orders(t.lineitem.filter("l_shipdate < timestamp_ntz'1995-03-01'"))
-
-
-@query()
+@query("SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey")
 def array_overlap_all(t: Tables) -> DataFrame:
     """J-08: orders whose part lists meet, over all rows."""
     return _overlapping_orders(t.lineitem)
@@ -297,15 +289,6 @@ def null_safe_anti(t: Tables) -> DataFrame:
     return e.join(x, (F.col("e.user_id") == F.col("x.user_id")) & F.col("e.k").eqNullSafe(F.col("x.k")), "left_anti").select("event_id")
 
 
-@query("""
-WITH RECURSIVE m AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 AND c_custkey > 8 THEN c_custkey - 8 END AS into_id FROM customer WHERE c_custkey <= 130),
-r AS (SELECT id, id AS final, 0 AS steps FROM m UNION ALL SELECT r.id, m.into_id, r.steps + 1 FROM r JOIN m ON m.id = r.final WHERE m.into_id IS NOT NULL AND r.steps < 16)
-SELECT id, final, steps::BIGINT AS steps FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY steps DESC) = 1""")
-def merged_chain(t: Tables) -> DataFrame:
-    """J-15: where each merged record ends, at most 16 steps on, of the records that the SQL states; ``merged_chain_all`` has all."""
-    return _chain_ends(t.spark, t.customer.filter("c_custkey <= 130"))
-
-
 @query("""
 WITH RECURSIVE m AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 AND c_custkey > 8 THEN c_custkey - 8 END AS into_id FROM customer),
 r AS (SELECT id, id AS final, 0 AS steps FROM m UNION ALL SELECT r.id, m.into_id, r.steps + 1 FROM r JOIN m ON m.id = r.final WHERE m.into_id IS NOT NULL AND r.steps < 16)
@@ -342,14 +325,6 @@ def latest_version_join(t: Tables) -> DataFrame:
     return joins.latest_before(left, t.events.select("user_id", "event_id", "ts"), "user_id", "at", "ts", "event_id").select("o_orderkey", "event_id")
 
 
-@query("""
-WITH s AS (SELECT a.p_partkey AS a, b.s_suppkey AS b, (a.p_partkey * 7919 + b.s_suppkey * 104729) % 9973 AS score FROM part a JOIN supplier b ON a.p_size % 5 = b.s_nationkey % 5 WHERE a.p_partkey <= 300)
-SELECT a, b, score FROM s QUALIFY rank() OVER (PARTITION BY a ORDER BY score DESC) = 1 AND rank() OVER (PARTITION BY b ORDER BY score DESC) = 1""")
-def mutual_best_pairs(t: Tables) -> DataFrame:
-    """J-21, of the parts that the SQL states; ``mutual_best_all`` has all."""
-    return _mutual_best(t.part.filter("p_partkey <= 300"), t.supplier)
-
-
 @query("""
 WITH s AS (SELECT a.p_partkey AS a, b.s_suppkey AS b, (a.p_partkey * 7919 + b.s_suppkey * 104729) % 9973 AS score FROM part a JOIN supplier b ON a.p_size % 5 = b.s_nationkey % 5)
 SELECT a, b, score FROM s QUALIFY rank() OVER (PARTITION BY a ORDER BY score DESC) = 1 AND rank() OVER (PARTITION BY b ORDER BY score DESC) = 1""")

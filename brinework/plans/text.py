@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoint import Workspace
+from ..functions import packing
 from ..functions import text as X
 from ..functions.common import round6, text_list
 from ..operators import duplicates, retrieval, terms
@@ -241,42 +239,41 @@ def table_profiles(t: Tables) -> DataFrame:
     return c.groupBy("table_id").agg((F.max("row_no").cast("long") + 1).alias("row_span"), (F.max("col_no").cast("long") + 1).alias("col_span"), F.count_if("is_header").alias("headers"), F.count_if(F.col("text").rlike("[0-9]")).alias("numeric_cells"), F.nullif(text_list(F.array_sort(F.collect_set("property_key"))), F.lit("")).alias("properties"))
 
 
-def _pack(rows: pd.DataFrame) -> pd.DataFrame:
-    """X-25: consecutive blocks of a page to units of 900 to 1600 characters; a heading starts a new one."""
-    out, group, size, heads_only = [], [], 0, True
+_FURNITURE = "'PAGE_HEADER', 'PAGE_FOOTER', 'PAGE_NUMBER'"
 
-    def flush() -> None:
-        nonlocal group, size, heads_only
-        if group:
-            out.append((rows["page_id"].iloc[0], len(out), len(group), "\n".join(group)))
-        group, size, heads_only = [], 0, True
 
-    for kind, text in rows.sort_values(["reading_order", "object_id"])[["block_type", "normalized_text"]].itertuples(index=False):
-        heading = kind == "TITLE"
-        if group and (heading and not heads_only or size + 1 + len(text) > 1600):
-            flush()
-        group.append(text)
-        size += len(text) + (1 if size else 0)
-        heads_only = heads_only and heading
-        if size >= 900 and not heading:
-            flush()
-    flush()
-    return pd.DataFrame(out, columns=["page_id", "unit_no", "n_blocks", "text"])
+@query("SELECT k AS page_id, unit_no, n_blocks, text_md5 FROM (" + packing.units_sql(f"""
+SELECT page_id AS k, row_number() OVER (PARTITION BY page_id ORDER BY reading_order NULLS FIRST, object_id) AS i, h, t FROM (SELECT DISTINCT page_id, object_id, reading_order, coalesce(block_type = 'TITLE', false) AS h, normalized_text AS t FROM blocks
+  WHERE is_primary_layer AND normalized_text IS NOT NULL AND page_id IS NOT NULL AND block_type NOT IN ({_FURNITURE}))""") + ")")
+def unit_packing(t: Tables) -> DataFrame:
+    """X-25 per page: the blocks of a page are one array, as long as a page is."""
+    b = t.blocks.filter(f"is_primary_layer and normalized_text is not null and page_id is not null and block_type not in ({_FURNITURE})")
+    b = b.select("page_id", "object_id", "reading_order", F.coalesce(F.col("block_type") == "TITLE", F.lit(False)).alias("heading"), F.col("normalized_text").alias("text")).distinct()
+    return _units(b, "page_id", F.array_sort(F.collect_list(F.struct(F.coalesce("reading_order", F.lit(-1)).alias("o"), "object_id", "heading", "text"))))
 
 
-@query()
-def unit_packing(t: Tables) -> DataFrame:
-    """X-25 per page; a page has few blocks, so a group stays small."""
-    b = t.blocks.filter("is_primary_layer and normalized_text is not null and page_id is not null and block_type not in ('PAGE_HEADER', 'PAGE_FOOTER', 'PAGE_NUMBER')").select("page_id", "object_id", "reading_order", "block_type", "normalized_text").distinct()
-    return b.groupBy("page_id").applyInPandas(_pack, "page_id string, unit_no int, n_blocks int, text string")
+@query("SELECT k AS doc_id, unit_no, n_blocks, text_md5 FROM (" + packing.units_sql("SELECT doc_id AS k, unnest(range(1, len(l) + 1)) AS i, false AS h, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS l FROM documents WHERE text IS NOT NULL)") + ")")
+def paragraph_packing(t: Tables) -> DataFrame:
+    """X-25, UD-06 over paragraphs of documents, the long ones cut between sentences."""
+    b = _texts(t).select("doc_id", F.transform(F.split("text", "\n\n"), lambda p: F.struct(F.lit(False).alias("heading"), p.alias("text"))).alias("b"))
+    return _exploded(b.select("doc_id", packing.units(F.col("b")).alias("u")), "doc_id")
+
+
+def _units(blocks: DataFrame, key: str, ordered: Column) -> DataFrame:
+    packed = blocks.groupBy(key).agg(ordered.alias("b")).select(key, packing.units(F.transform("b", lambda x: F.struct(x["heading"].alias("heading"), x["text"].alias("text")))).alias("u"))
+    return _exploded(packed, key)
+
+
+def _exploded(units: DataFrame, key: str) -> DataFrame:
+    return units.select(key, F.posexplode("u").alias("unit_no", "x")).select(key, F.col("unit_no").cast("long").alias("unit_no"), F.col("x.n").cast("long").alias("n_blocks"), F.md5("x.text").alias("text_md5"))
 
 
 @query(r"""
-WITH w AS (SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')), '^(.{4,}?)(?:ing|ed|es|s)$', '\1') AS stem, lang FROM documents WHERE text IS NOT NULL AND lang = 'en')
+WITH w AS (SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')), '^(.{4,}?)(?:ing|ed|es|s)$', '\1') AS stem FROM documents WHERE text IS NOT NULL)
 SELECT stem, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w WHERE stem <> '' GROUP BY 1 HAVING count(*) >= 5""")
 def stem_counts(t: Tables) -> DataFrame:
     """X-05, X-06 with the English endings."""
-    w = _texts(t).filter("lang = 'en'").select("doc_id", F.explode(X.words(F.col("text"), r"[^\p{L}]+")).alias("w"))
+    w = _texts(t).select("doc_id", F.explode(X.words(F.col("text"), r"[^\p{L}]+")).alias("w"))
     s = w.select("doc_id", F.regexp_replace("w", r"^(.{4,}?)(?:ing|ed|es|s)$", "$1").alias("stem"))
     return s.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs")).filter("n >= 5")
 

@@ -3,7 +3,6 @@
 from datetime import datetime
 from random import Random
 
-from brinework.llm import noise
 from brinework.operators import duplicates
 from brinework.plans import registry
 
@@ -54,15 +53,3 @@ def test_levels_over_the_whole_side(spark, tables):
     path = tables(embeddings=[{"vec_id": k, "embedding": [float(x) for x in v]} for k, v in vectors.items()])
     # Levels: vector 0 has 0.85; vector 1 has (0.9 + 0.9) / 2, vector 3 has (0.8 + 0) / 2.
     assert rows(registry.queries()["csls_best_all"](spark, path)) == [(0, 3, round(1.6 - 0.85 - 0.4, 6))]
-    assert rows(registry.queries()["csls_best"](spark, path))[0][1] != 3
-
-
-def test_words_and_heads_outside_the_samples(spark, tables, monkeypatch):
-    """A word on one clean page and a head of few blocks count though the samples are small."""
-    for name in ("CLEAN_PAGES", "SCANNED_PAGES", "BLOCKS"):
-        monkeypatch.setattr(noise, name, 1)
-    pages = [{"page_id": f"p{i}", "normalized_text": f"слово{chr(1072 + i)} порода", "primary_text_layer": "TEXT"} for i in range(30)]
-    blocks = [{"object_id": f"b{i}", "page_id": f"p{i}", "block_type": "PAGE_HEADER", "normalized_text": f"Глава соляная {chr(1072 + i // 3)}"} for i in range(30)]
-    model = noise.fitted(spark, tables(pages=pages, blocks=blocks))
-    assert model.lexicon.words == {"порода": 30} | {f"слово{chr(1072 + i)}": 1 for i in range(30)}
-    assert set(model.heads) == {f"глава соляная {chr(1072 + i)}" for i in range(10)}
