@@ -96,3 +96,14 @@ def test_odd_texts():
         READER.findings(t, True, True)
         READER.repaired(t, True, True)
     assert Z.Reader(Z.fit([], [], [])).findings("Любой текст-\nвот.", True, True) is not None
+
+
+def test_words_and_heads_outside_the_samples(spark, tables, monkeypatch):
+    """A word on one clean page and a head of few blocks count though the samples are small."""
+    for name in ("CLEAN_PAGES", "SCANNED_PAGES", "BLOCKS"):
+        monkeypatch.setattr(Z, name, 1)
+    pages = [{"page_id": f"p{i}", "normalized_text": f"слово{chr(1072 + i)} порода", "primary_text_layer": "TEXT"} for i in range(30)]
+    blocks = [{"object_id": f"b{i}", "page_id": f"p{i}", "block_type": "PAGE_HEADER", "normalized_text": f"Глава соляная {chr(1072 + i // 3)}"} for i in range(30)]
+    model = Z.fitted(spark, tables(pages=pages, blocks=blocks))
+    assert model.lexicon.words == {"порода": 30} | {f"слово{chr(1072 + i)}": 1 for i in range(30)}
+    assert set(model.heads) == {f"глава соляная {chr(1072 + i)}" for i in range(10)}
