@@ -1,12 +1,15 @@
 """Problem 3: noise in text from scanned pages.
 
-Three averaged perceptrons, fitted on bounded samples of the corpus itself; the
+Four averaged perceptrons, fitted on bounded samples of the corpus itself; the
 words that clean pages have and the forms of running heads are counted over all
 pages and blocks:
 
-* an editor of characters (keep, replace, delete, insert) for words that clean
-  pages don't have, learning from clean words damaged by the confusions mined
-  from scans, and from scanned words with one clean reading;
+* an editor of characters (keep, replace, delete, insert before) for words that
+  clean pages don't have, learning from clean words damaged by the confusions
+  mined from scans or robbed of a character, and from scanned words with one
+  clean reading;
+* a writer, which names the character that a replacement or insertion puts in,
+  learning from the same places;
 * a joiner of word halves (join without the mark, join with it, leave), learning
   from clean words cut in two, compounds cut at their hyphen and hyphens that
   clean pages leave hanging;
@@ -39,8 +42,10 @@ EDITED_WORDS, ROUNDS = 9_000, 4
 HEAD_LEAST, HEAD_SHARE = 3, 0.2
 #: Part of a head's characters that may be misread.
 HEAD_NOISE = 0.25
-#: Most characters of a word that the editor looks at.
-LONGEST_WORD = 48
+#: Words the joiner learns from, of each kind, chosen at random.
+JOINED_WORDS = 3_000
+#: Words up to this length are found by their gaps, longer ones by common beginnings and ends: the same readings.
+GAP_WORD = 48
 
 # Fixed values.
 MARKS = "-­¬‐"
@@ -49,34 +54,52 @@ TOKEN = re.compile(r"[^ \t\r\n]+")
 _EDGE = ".,;:!?…()[]{}«»„“”\"'’"
 _DIGITS = re.compile(r"\d+")
 _NUMBER = re.compile(r"\d{1,4}")
-_ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _PAGE_NUMBER = re.compile(r"(?:\d{1,4}\.?|[-–—~] \d{1,4} [-–—~]|\[\d{1,4}\]|(?:стр|с|p|pp|S)\. ?\d{1,4})", re.I)
 
 
 _NUMBERED = re.compile(r"(?:стр|с|p|pp|S)\.", re.I)
+# Roman digits.
+_ROMAN_DIGITS = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+
+
+def roman(word: str) -> int:
+    """The number a word in small Roman digits writes in the usual way; 0 if it doesn't."""
+    values = [_ROMAN_DIGITS.get(c, 0) for c in word]
+    if not values or not all(values) or len(values) > 15:
+        return 0
+    total = sum(-v if v < max(values[k:]) else v for k, v in enumerate(values))
+    out, rest = "", total
+    for unit, one, five, ten in ((1000, "m", "", ""), (100, "c", "d", "m"), (10, "x", "l", "c"), (1, "i", "v", "x")):
+        digit, rest = divmod(rest, unit)
+        if unit == 1000:
+            out += one * digit
+        else:
+            out += one + ten if digit == 9 else one + five if digit == 4 else five * (digit >= 5) + one * (digit % 5)
+    return total if 0 < total < 4000 and out == word else 0
 
 
 class Perceptron:
-    """Averaged multi-class perceptron over sparse named features."""
+    """Averaged multi-class perceptron over sparse named features; a feature's weights are (class, weight) pairs."""
 
     def __init__(self, classes: tuple[str, ...]):
         self.classes = classes
-        self.weights: dict[str, list[float]] = {}
+        self.weights: dict[str, list[tuple[int, float]]] = {}
 
     def scores(self, features: Iterable[str]) -> list[float]:
         total = [0.0] * len(self.classes)
         for f in features:
-            if w := self.weights.get(f):
-                for k, v in enumerate(w):
-                    total[k] += v
+            for k, v in self.weights.get(f, ()):
+                total[k] += v
         return total
 
     def best(self, features: Iterable[str]) -> str:
         s = self.scores(features)
-        return self.classes[max(range(len(s)), key=s.__getitem__)]
+        return self.classes[s.index(max(s))]
 
     def fit(self, examples: list[tuple[list[str], str]], rounds: int = ROUNDS, seed: int = 5) -> Perceptron:
-        n, at, sums, stamps = len(self.classes), 0, {}, {}
+        at = 0
+        #: feature -> class -> [weight, its sum over the steps up to stamp, stamp]
+        learnt: dict[str, dict[int, list[float]]] = {}
         index = {c: k for k, c in enumerate(self.classes)}
         random, order = Random(seed), list(range(len(examples)))
         for _ in range(rounds):
@@ -84,21 +107,24 @@ class Perceptron:
             for e in order:
                 at += 1
                 features, label = examples[e]
-                s = self.scores(features)
-                guess, right = max(range(n), key=s.__getitem__), index[label]
+                s = [0.0] * len(self.classes)
+                for f in features:
+                    for k, w in learnt.get(f, {}).items():
+                        s[k] += w[0]
+                guess, right = s.index(max(s)), index[label]
                 if guess == right:
                     continue
                 for f in features:
-                    w = self.weights.setdefault(f, [0.0] * n)
-                    total, stamp = sums.setdefault(f, [0.0] * n), stamps.setdefault(f, [0] * n)
+                    of = learnt.setdefault(f, {})
                     for k, step in ((right, 1.0), (guess, -1.0)):
-                        total[k] += (at - stamp[k]) * w[k]
-                        stamp[k] = at
-                        w[k] += step
-        for f, w in self.weights.items():
-            total, stamp = sums[f], stamps[f]
-            self.weights[f] = [(total[k] + (at + 1 - stamp[k]) * w[k]) / (at + 1) for k in range(n)]
-        self.weights = {f: w for f, w in self.weights.items() if any(abs(v) > 1e-6 for v in w)}
+                        w = of.setdefault(k, [0.0, 0.0, at])
+                        w[1] += (at - w[2]) * w[0]
+                        w[2] = at
+                        w[0] += step
+        for f, of in learnt.items():
+            mean = [(k, (total + (at + 1 - stamp) * w) / (at + 1)) for k, (w, total, stamp) in sorted(of.items())]
+            if kept := [(k, v) for k, v in mean if abs(v) > 1e-6]:
+                self.weights[f] = kept
         return self
 
 
@@ -111,52 +137,97 @@ def _script(c: str) -> str:
     return "0" if c.isdigit() else "L" if "a" <= c <= "z" or c in "äöüß" else "C" if "Ѐ" <= c <= "ӿ" else "x"
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 @dataclass
 class Lexicon:
     """Words of clean pages, and the characters they allow at an unknown place."""
 
     words: dict[str, int]
     gaps: dict[str, dict[str, int]] = field(default_factory=dict)
+    #: Words over GAP_WORD characters by length.
+    long: dict[int, list[str]] = field(default_factory=dict)
     #: (seen, meant) that scans show more than once.
     mined: set[tuple[str, str]] = field(default_factory=set)
+    #: The long word last asked for, with its common beginning and end with words of nearly its length.
+    near: tuple[str, list[tuple[str, int, int]]] = ("", [])
 
     def open(self) -> Lexicon:
         gaps: dict[str, dict[str, int]] = defaultdict(dict)
         for w, n in self.words.items():
-            if 2 < len(w) <= LONGEST_WORD:
+            if 2 < len(w) <= GAP_WORD:
                 for i, c in enumerate(w):
                     g = gaps[w[:i] + "\0" + w[i + 1 :]]
                     g[c] = g.get(c, 0) + n
+            elif len(w) > GAP_WORD:
+                self.long.setdefault(len(w), []).append(w)
         self.gaps = dict(gaps)
         return self
 
     def readings(self, w: str, i: int, width: int, own: str = "") -> str:
-        """The most frequent character that clean words have for w[i : i + width], its own word apart."""
-        found = self.gaps.get(w[:i] + "\0" + w[i + width :])
+        """The most frequent character that clean words have for w[i : i + width], its own word apart; a width of 0 asks for one lost before i."""
+        size = len(w) - width + 1
+        if size <= GAP_WORD:
+            found = self.gaps.get(w[:i] + "\0" + w[i + width :])
+        else:
+            found = self._of_long(w, i, width, size)
         if not found:
             return ""
         if own:
             found = {c: n for c, n in found.items() if w[:i] + c + w[i + width :] != own}
         return max(found, key=lambda c: (found[c], c)) if found else ""
 
+    def _of_long(self, w: str, i: int, width: int, size: int) -> dict[str, int]:
+        if self.near[0] != w:
+            back = w[::-1]
+            self.near = (w, [(x, _common(w, x), _common(back, x[::-1])) for n in range(len(w) - 1, len(w) + 2) for x in self.long.get(n, ())])
+        return {x[i]: self.words[x] for x, head, tail in self.near[1] if len(x) == size and head >= i and tail >= len(w) - i - width}
 
-def char_features(w: str, i: int, lexicon: Lexicon, own: str = "", cased: str = "") -> list[str]:
-    """What the editor sees at a character; ``own`` is the word itself where the lexicon has it (in fitting)."""
-    p = "^^" + w + "$$"
-    a, b, c, d, e = p[i : i + 5]
+
+def look_of(w: str, cased: str) -> tuple[str, str]:
+    """(main script, shape) of a word."""
     scripts = Counter(map(_script, w))
-    main = "L" if scripts["L"] >= scripts["C"] else "C"
+    shape = ("N" if cased[:1].isupper() else "n") + ("d" if scripts["0"] else "") + ("m" if scripts["L"] and scripts["C"] else "")
+    return "L" if scripts["L"] >= scripts["C"] else "C", shape
+
+
+def char_features(w: str, i: int, lexicon: Lexicon, own: str = "", look: tuple[str, str] = ("C", "n")) -> list[str]:
+    """What the editor sees at a character; ``own`` is the word itself where the lexicon has it (in fitting)."""
+    a, b, c = w[i - 2] if i > 1 else "^", w[i - 1] if i else "^", w[i]
+    d, e = (w[i + 1 : i + 3] + "$$")[:2]
+    main, shape = look
     one, two = lexicon.readings(w, i, 1, own), lexicon.readings(w, i, 2, own) if i + 1 < len(w) else ""
+    lost = lexicon.readings(w, i, 0, own)
     if one == c:
         one = ""
-    shape = ("N" if cased[:1].isupper() else "n") + ("d" if scripts["0"] else "") + ("m" if scripts["L"] and scripts["C"] else "")
     return [
         "1" + c, "2" + b + c, "3" + c + d, "4" + b + c + d, "5" + a + b + c, "6" + c + d + e, "7" + a + b + c + d, "8" + b + c + d + e,
         "s" + _script(c) + main + shape, "o" + ("=" if one else "-") + shape, "r" + c + ">" + one, "t" + c + d + ">" + two, "w" + ("=" if two else "-"), "c" + c + shape,
         "q" + str((c, one) in lexicon.mined) + str((c + d, two) in lexicon.mined), "Q" + str((c, one) in lexicon.mined) + shape,
+        "z" + ("=" if lost else "-") + ("=" if one or two else "-") + shape, "Z" + b + c + ">" + lost,
     ]
 
 
+def written_features(w: str, i: int, operation: str, width: int, lexicon: Lexicon, own: str = "") -> list[str]:
+    """What the writer sees at a place that the editor would change."""
+    a, b = w[i - 2] if i > 1 else "^", w[i - 1] if i else "^"
+    d, e = (w[i + width : i + width + 2] + "$$")[:2]
+    seen = w[i : i + width]
+    read = lexicon.readings(w, i, width, own)
+    o = operation[0]
+    return [o, "r" + read, "s" + o + seen, "sr" + seen + ">" + read, "b" + o + b + d, "c" + o + a + b, "d" + o + d + e, "e" + seen + b + d, "m" + str((seen, read) in lexicon.mined) + o + read]
+
+
 JOINS = ("JOIN", "KEEP", "LEAVE")
 
 
@@ -182,10 +253,10 @@ def place_features(kind: str, alone: bool, from_top: int, from_bottom: int, numb
 class Model:
     lexicon: Lexicon
     editor: Perceptron
+    writer: Perceptron
     joiner: Perceptron
     judge: Perceptron
     heads: dict[str, tuple[str, ...]]
-    targets: dict[str, str]
 
 
 def head_form(text: str) -> tuple[str, ...]:
@@ -224,7 +295,7 @@ def may_be_head(form: tuple[str, ...]) -> bool:
 
 
 def fit(clean: list[str], scanned: list[str], blocks: list[tuple[str, str, int, int]], seed: int = 11, words: dict[str, int] | None = None, head_forms: list[tuple[str, ...]] | None = None) -> Model:
-    """Fits all three perceptrons.
+    """Fits all four perceptrons.
 
     clean, scanned: texts of pages; blocks: (block_type, text, from top, from
     bottom) of short blocks.  Any of them may be empty.  words, head_forms: the
@@ -270,51 +341,60 @@ def fit(clean: list[str], scanned: list[str], blocks: list[tuple[str, str, int,
     by_meant: dict[str, list[tuple[str, int]]] = defaultdict(list)
     for (seen, meant), n in confusions.items():
         by_meant[meant].append((seen, n))
-    targets = {}
-    for (seen, meant), n in confusions.items():
-        if n > confusions.get((seen, targets.get(seen, "")), 0):
-            targets[seen] = meant
-
-    learnt = [w for w in counts if 3 < len(w) <= LONGEST_WORD and any(c.isalpha() for c in w)]
+    learnt = [w for w in counts if len(w) > 3 and any(c.isalpha() for c in w)]
     learnt.sort(key=lambda w: (-counts[w], w))
     chosen = learnt[: EDITED_WORDS // 3] + random.sample(learnt, min(len(learnt), EDITED_WORDS // 3))
     examples: list[tuple[list[str], str]] = []
+    written: list[tuple[list[str], str]] = []
+
+    def learn(word: str, labels: list[str], shown: str, own: str = "") -> None:
+        look = look_of(word, shown)
+        examples.extend((char_features(word, i, lexicon, own, look), label) for i, label in enumerate(labels))
+
     for w in chosen:
         shown = cased[w]
-        examples += [(char_features(w, i, lexicon, own=w, cased=shown), "KEEP") for i in range(len(w))]
+        learn(w, ["KEEP"] * len(w), shown, w)
         places = [i for i, c in enumerate(w) if c in by_meant]
-        if not places:
-            continue
-        # One confusion or two, each at one place or at all of them.
-        swaps: dict[int, str] = {}
-        for _ in range(random.choice((1, 1, 2))):
-            meant = w[random.choice(places)]
-            seen = random.choices([x for x, _ in by_meant[meant]], [n for _, n in by_meant[meant]])[0]
-            spots = [i for i, c in enumerate(w) if c == meant]
-            swaps |= dict.fromkeys(spots if random.random() < 0.5 else [random.choice(spots)], seen)
-        out, labels = "", []
-        for i, c in enumerate(w):
-            labels += ["REPLACE"] + ["DELETE"] * (len(swaps[i]) - 1) if i in swaps else ["KEEP"]
-            out += swaps.get(i, c)
-        examples += [(char_features(out, i, lexicon, cased=shown), label) for i, label in enumerate(labels)]
-    for raw, _, i, width, shown in random.sample(damaged, min(len(damaged), EDITED_WORDS // 3)):
-        for k in range(len(raw)):
-            label = "REPLACE" if k == i else "DELETE" if i < k < i + width else "KEEP"
-            examples.append((char_features(raw, k, lexicon, cased=shown), label))
+        if places:
+            # One confusion or two, each at one place or at all of them.
+            swaps: dict[int, str] = {}
+            for _ in range(random.choice((1, 1, 2))):
+                meant = w[random.choice(places)]
+                seen = random.choices([x for x, _ in by_meant[meant]], [n for _, n in by_meant[meant]])[0]
+                spots = [i for i, c in enumerate(w) if c == meant]
+                swaps |= dict.fromkeys(spots if random.random() < 0.5 else [random.choice(spots)], seen)
+            out, labels, at = "", [], []
+            for i, c in enumerate(w):
+                if i in swaps:
+                    at.append((len(out), len(swaps[i]), c))
+                labels += ["REPLACE"] + ["DELETE"] * (len(swaps[i]) - 1) if i in swaps else ["KEEP"]
+                out += swaps.get(i, c)
+            learn(out, labels, shown)
+            written += [(written_features(out, i, "REPLACE", n, lexicon), c) for i, n, c in at]
+        if len(w) > 5:
+            # A lost character is shown at the one behind it.
+            i = random.randint(1, len(w) - 2)
+            if w[i] not in (w[i - 1], w[i + 1]) and (robbed := w[:i] + w[i + 1 :]) not in lexicon.words:
+                learn(robbed, ["INSERT" if k == i else "KEEP" for k in range(len(robbed))], shown)
+                written.append((written_features(robbed, i, "INSERT", 0, lexicon), w[i]))
+    for raw, meant, i, width, shown in random.sample(damaged, min(len(damaged), EDITED_WORDS // 3)):
+        learn(raw, ["REPLACE" if k == i else "DELETE" if i < k < i + width else "KEEP" for k in range(len(raw))], shown)
+        written.append((written_features(raw, i, "REPLACE", width, lexicon), meant[i]))
     editor = Perceptron(("KEEP", "REPLACE", "DELETE", "INSERT")).fit(examples)
+    writer = Perceptron(tuple(sorted({c for _, c in written})) or ("",)).fit(written)
 
     joins: list[tuple[list[str], str]] = []
-    for w in random.sample(learnt, min(len(learnt), 3000)):
+    for w in random.sample(learnt, min(len(learnt), JOINED_WORDS)):
         w = cased[w]
         if len(w) > 4 and w.isalpha():
             for mark in ("-", "­"):
                 at = random.randint(2, len(w) - 2)
                 joins.append((join_features(w[:at], mark, w[at:], lexicon), "JOIN"))
-    for w, n in sorted(hyphened.items())[:3000]:
+    for w, n in random.sample(sorted(hyphened.items()), min(len(hyphened), JOINED_WORDS)):
         a, _, b = w.partition("-")
         if a and b:
             joins += [(join_features(a, "-", b, lexicon), "KEEP")] * min(3, n)
-    for (a, b), n in sorted(hanging.items())[:2000]:
+    for (a, b), n in random.sample(sorted(hanging.items()), min(len(hanging), JOINED_WORDS)):
         joins += [(join_features(a, "-", b, lexicon), "LEAVE")] * min(5, n)
     joiner = Perceptron(JOINS).fit(joins)
 
@@ -339,7 +419,7 @@ def fit(clean: list[str], scanned: list[str], blocks: list[tuple[str, str, int,
         label = "HEAD" if look == "head" else "PAGENO" if look != "text" and m >= HEAD_SHARE * n else "TEXT"
         places.append((place_features(look, True, top, bottom, bool(_NUMBER.search(text)), False), label))
     judge = Perceptron(PLACES).fit(places)
-    return Model(lexicon, editor, joiner, judge, heads, targets)
+    return Model(lexicon, editor, writer, joiner, judge, heads)
 
 
 def _look(text: str, heads: dict[str, tuple[str, ...]]) -> str:
@@ -349,7 +429,7 @@ def _look(text: str, heads: dict[str, tuple[str, ...]]) -> str:
         return "head"
     if _PAGE_NUMBER.fullmatch(bare):
         return "number"
-    return "roman" if bare and _ROMAN.fullmatch(bare) else "text"
+    return "roman" if roman(bare) else "text"
 
 
 class Reader:
@@ -357,7 +437,7 @@ class Reader:
 
     def __init__(self, model: Model):
         self.m = model
-        if not model.lexicon.gaps:
+        if not model.lexicon.gaps and not model.lexicon.long:
             model.lexicon.open()
         self.by_word: dict[str, list[tuple[tuple[str, ...], int]]] = defaultdict(list)
         for form in model.heads.values():
@@ -366,7 +446,7 @@ class Reader:
                     self.by_word[w].append((form, k))
         #: raw token -> (known, key if it is a word of a head else "")
         self.seen: dict[str, tuple[bool, str]] = {}
-        self.edited: dict[str, tuple[int, ...]] = {}
+        self.edited: dict[str, tuple[tuple[int, str], ...]] = {}
 
     def look_up(self, raw: str) -> tuple[bool, str]:
         w = raw.strip(_EDGE)
@@ -374,7 +454,7 @@ class Reader:
         known = not w or key in self.m.lexicon.words or not any(c.isalpha() or c == "�" for c in w) and "*" not in w
         whole = key_of(raw)
         found = known, whole if whole in self.by_word else ""
-        if len(raw) <= LONGEST_WORD:
+        if len(raw) <= GAP_WORD:
             if len(self.seen) > 400_000:
                 self.seen.clear()
             self.seen[raw] = found
@@ -406,25 +486,27 @@ class Reader:
             spans.append((begin, end))
         return sorted(spans)
 
-    def _bad_places(self, word: str) -> tuple[int, ...]:
-        """Where the editor would change a word that clean pages don't have."""
+    def _bad_places(self, word: str) -> tuple[tuple[int, str], ...]:
+        """(place, operation) where the editor would change a word that clean pages don't have."""
         if (known := self.edited.get(word)) is not None:
             return known
         low = word.lower()
-        found = []
+        found: list[tuple[int, str]] = []
+        lexicon, look = self.m.lexicon, look_of(low, word)
         # A capitalised word in one script may be a name: only a clean reading speaks against it.
         plain_name = word[:1].isupper() and len({_script(c) for c in low if c.isalnum()}) == 1 and not any(c.isdigit() for c in low)
-        for i, c in enumerate(low[:LONGEST_WORD] if not _ROMAN.fullmatch(word) else ""):
-            if c == "�":
-                found.append(i)
-            elif plain_name and not (self.m.lexicon.readings(low, i, 1) or self.m.lexicon.readings(low, i, 2)):
+        for i, c in enumerate("" if roman(word) else low):
+            if c == "\ufffd":
+                found.append((i, "REPLACE"))
+            elif plain_name and not any(lexicon.readings(low, i, width) for width in (1, 2, 0)):
                 continue
-            elif c.isalnum() and self.m.editor.best(char_features(low, i, self.m.lexicon, cased=word)) != "KEEP":
-                found.append(i)
-        if len(self.edited) > 400_000:
-            self.edited.clear()
-        self.edited[word] = tuple(found)
-        return self.edited[word]
+            elif c.isalnum() and (operation := self.m.editor.best(char_features(low, i, lexicon, look=look))) != "KEEP":
+                found.append((i, operation))
+        if len(word) <= GAP_WORD:
+            if len(self.edited) > 400_000:
+                self.edited.clear()
+            self.edited[word] = tuple(found)
+        return tuple(found)
 
     def findings(self, text: str, scanned: bool, whole_page: bool, order: int = 0) -> list[tuple[str, int]]:
         """(kind, token number from 1) of a record."""
@@ -482,7 +564,7 @@ class Reader:
         return list(dict.fromkeys(out))
 
     def _chars(self, part: str, offset: int, at: int, word: str, out: list[tuple[str, int]]) -> None:
-        if any(offset <= i < offset + len(part) for i in self._bad_places(word)):
+        if any(offset <= i < offset + len(part) for i, _ in self._bad_places(word)):
             out.append(("CHAR", at + 1))
 
     def _numbers(self, tokens: list[str], s: int, e: int, top: int, bottom: int, furniture: set[int], whole_page: bool, wrapped: bool, out: list[tuple[str, int]]) -> None:
@@ -510,16 +592,16 @@ class Reader:
             if bottom == 0 and not furniture & set(range(e - size, e)):
                 last, before = " ".join(tokens[e - size : e]), tokens[e - size - 1]
                 closed = before[-1] in ".!?…)]" or e - size - 1 in furniture
-                decorated = size > 1 or last[0] == "[" or _ROMAN.fullmatch(last)
-                if (_PAGE_NUMBER.fullmatch(last) or _ROMAN.fullmatch(last)) and (closed or decorated and before[-1].isdigit()):
+                decorated = size > 1 or last[0] == "[" or roman(last)
+                if (_PAGE_NUMBER.fullmatch(last) or roman(last)) and (closed or decorated and before[-1].isdigit()):
                     take(e - size, e)
             if top == 0 and not furniture & set(range(s, s + size)):
                 first, after = " ".join(tokens[s : s + size]), tokens[s + size]
-                if (_PAGE_NUMBER.fullmatch(first) or _ROMAN.fullmatch(first)) and (after[0].isupper() or s + size in furniture):
+                if (_PAGE_NUMBER.fullmatch(first) or roman(first)) and (after[0].isupper() or s + size in furniture):
                     take(s, s + size)
 
     def repaired(self, text: str, scanned: bool, whole_page: bool) -> str:
-        """The text with halves joined, furniture gone, misread characters replaced where a clean reading is known, and lines flowing into paragraphs."""
+        """The text with halves joined, furniture gone, misread characters replaced, deleted or put in as the editor and the writer say, and lines flowing into paragraphs."""
         found = defaultdict(set)
         for kind, n in self.findings(text, scanned, whole_page):
             found[n - 1].add(kind)
@@ -553,18 +635,23 @@ class Reader:
         return out
 
     def _mended(self, token: str) -> str:
+        """The token after the editor's operations, their characters as the writer names them."""
         w = token.strip(_EDGE)
         at = token.find(w) if w else 0
-        low = w.lower()
-        for i in sorted(self._bad_places(w), reverse=True):
-            for width in (2, 1):
-                meant = self.m.lexicon.readings(low, i, width)
-                meant = meant or (self.m.targets.get(low[i : i + width], "") if low[i : i + width] in self.m.targets else "")
-                if meant and i + width <= len(low):
-                    shown = meant.upper() if w[i].isupper() else meant
-                    w, low = w[:i] + shown + w[i + width :], low[:i] + meant + low[i + width :]
-                    break
-        return token[:at] + w + token[at + len(token.strip(_EDGE)) :]
+        low, bad = w.lower(), dict(self._bad_places(w))
+        out = ""
+        for i, c in enumerate(low):
+            operation = bad.get(i, "KEEP")
+            shown = w[i] if len(w) == len(low) else c
+            if operation == "DELETE":
+                continue
+            if operation == "KEEP" or not self.m.writer.weights:
+                out += shown
+                continue
+            width = 0 if operation == "INSERT" else 2 if bad.get(i + 1) == "DELETE" else 1
+            meant = self.m.writer.best(written_features(low, i, operation, width, self.m.lexicon))
+            out += (meant.upper() if shown.isupper() and operation == "REPLACE" else meant) + (shown if operation == "INSERT" else "")
+        return token[:at] + out + token[at + len(w) :]
 
 
 def _page_part(token: str) -> bool:

@@ -107,3 +107,77 @@ def test_words_and_heads_outside_the_samples(spark, tables, monkeypatch):
     model = Z.fitted(spark, tables(pages=pages, blocks=blocks))
     assert model.lexicon.words == {"порода": 30} | {f"слово{chr(1072 + i)}": 1 for i in range(30)}
     assert set(model.heads) == {f"глава соляная {chr(1072 + i)}" for i in range(10)}
+
+
+def edits(a, b):
+    """Levenshtein distance by common ends, then rows."""
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def spoilt(text, rng, kinds, lost=0.5):
+    """A text as a scan might give it: misread words, lost characters, words cut in two at line ends."""
+    out = []
+    for w in text.split(" "):
+        r = rng.random()
+        fit = [(m, s) for m, s in kinds if m in w.lower() and w.isalpha() and len(w) > 4]
+        if r < 0.08 and fit:
+            m, s = rng.choice(fit)
+            w = w.replace(m, s)
+        elif r < 0.08 + 0.04 * lost and w.isalpha() and len(w) > 6:
+            i = rng.randint(2, len(w) - 2)
+            w = w[:i] + w[i + 1 :]
+        elif r < 0.16 and w.isalpha() and len(w) > 6:
+            i = rng.randint(3, len(w) - 3)
+            w = w[:i] + "-\n" + w[i:]
+        out.append(w)
+    return " ".join(out)
+
+
+def character_error(reader, texts, rng, kinds):
+    before = after = size = 0
+    for t in texts:
+        t = t.replace("\n\n", " ").replace("\n", " ")
+        bad = spoilt(t, rng, kinds)
+        size += len(t)
+        before += edits(t, bad)
+        after += edits(t, reader.repaired(bad, True, True))
+    return before / size, after / size
+
+
+def test_repair_lowers_the_character_error():
+    """Words known from other sentences: misread, robbed of a character or cut in two, then repaired."""
+    rng = random.Random(31)
+    texts = [" ".join(sentence(rng) for _ in range(6)) for _ in range(40)]
+    before, after = character_error(READER, texts, rng, KINDS[:4])
+    assert before > 0.005 and after < 0.25 * before, (before, after)
+
+
+def test_lost_characters_are_put_in():
+    assert READER.repaired("Соляная сохрняла камера.", True, True) == "Соляная сохраняла камера."
+    assert ("CHAR", 2) in kinds("Соляная сохрняла камера.")
+
+
+def test_long_words():
+    """Beyond the words kept by their gaps the same readings hold, and every place of a long token is read."""
+    long = "".join("породасольнаякамера"[i % 19] for i in range(120))
+    words = {long: 2, long[:60] + "ж" + long[61:]: 1, "короткое": 3}
+    lexicon = Z.Lexicon(words).open()
+    assert lexicon.readings(long[:100] + "ъ" + long[101:], 100, 1) == long[100]
+    assert lexicon.readings(long[:100] + long[101:], 100, 0) == long[100]
+    assert lexicon.readings(long[:100] + "ъъ" + long[101:], 100, 2) == long[100]
+    assert lexicon.readings(long[:60] + "ъ" + long[61:], 60, 1) == long[60] and lexicon.readings(long, 60, 1, long) == "ж"
+    assert lexicon.readings("коро*кое", 4, 1) == "т" and lexicon.readings("корокое", 4, 0) == "т"
+    assert ("CHAR", 1) in kinds("а" * 90 + "�" + "а" * 90)
+
+
+def test_roman():
+    assert [Z.roman(w) for w in ("iv", "xii", "mcmxciv", "iiii", "vx", "", "abc", "ic", "mmmm")] == [4, 12, 1994, 0, 0, 0, 0, 0, 0]
