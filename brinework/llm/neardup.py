@@ -13,9 +13,11 @@ the candidates up in the long ones.  Here, distributed:
 3. T - 1 lists of each text may be long; the others, its short lists, are routed
    by shingle.  A list longer than CHUNK is cut into cells of block against
    block, so that no task meets a whole hot list.
-4. In a task, list members are paired only if sizes, positions and a bitmap of
-   512 bits still allow T common shingles - the bitmap bounds the overlap from
-   above, so nothing is lost.  The candidate lists of each text are heap-merged.
+4. In a task, list members are paired, a bounded number at a time, only if
+   sizes and a bitmap of 512 bits still allow T common shingles - the bitmap
+   bounds the overlap from above, so nothing is lost.  The candidate lists of
+   each text are heap-merged.  A candidate stays if its hits in short lists and
+   all the long ones together could make T.
 5. Candidates are probed in the long lists: binary search of one set in the
    other gives the exact overlap.
 """
@@ -23,7 +25,6 @@ the candidates up in the long ones.  Here, distributed:
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -43,18 +44,21 @@ CHUNK = 4096
 #: Shingles routed to one group of lists, on average.
 PART = 500_000
 BITS = 512
+#: Most pairs of list members looked at at once.
+PAIRS = 500_000
 
 
 def word_list(text: Column) -> Column:
     """Longest runs of letters and digits, in lower case, with ё as е."""
-    return F.filter(F.split(F.translate(F.lower(text), "ё", "е"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(F.lower(text), "ё", "е"), r"[^\p{L}\p{N}]+"), "")
 
 
 def shingle_sets(texts: DataFrame, words: int, least_words: int) -> DataFrame:
     """id, shingles (sorted array of hashes) of texts with enough words. texts: id, text."""
     listed = texts.select("id", word_list(F.col("text")).alias("w")).filter(F.size("w") >= max(words, least_words))
-    at = F.sequence(F.lit(1), F.size("w") - (words - 1))
-    return listed.select("id", F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(*(F.element_at("w", (i + k).cast("int")) for k in range(words)))))).alias("shingles"))
+    # Safe for shorter texts too: the optimizer may test shingles before it tests the number of words.
+    at = F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0)))
+    return listed.select("id", F.sort_array(F.array_distinct(F.transform(at, lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(words)))))).alias("shingles"))
 
 
 def least_common(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -62,12 +66,6 @@ def least_common(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def _bitmap(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=bool)
-    bits[shingles & (BITS - 1)] = True
-    return np.packbits(bits).tobytes()
-
-
 def _mix(*parts: int) -> int:
     """A 64-bit key of a cell."""
     h = 0x9E3779B97F4A7C15
@@ -77,39 +75,60 @@ def _mix(*parts: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+#: Rows of routed texts: those of one batch that go to one part, side by side.
+_ROUTED = "part int, ids array<string>, n array<int>, bitmaps binary, docs array<int>, keys array<long>, places array<int>, sides array<int>"
+
+
 def _short_lists(sets: DataFrame, heavy, threshold: float, parts: int) -> DataFrame:
-    """part, id, n, bitmap and the text's shingles that go there: keys, places (position in rare-first order), sides."""
+    """Per batch of texts and part: the texts with their sizes and bitmaps, and of each entry the text's number, the list's key, place (in rare-first order) and side."""
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, counts = heavy.value
         for batch in batches:
-            rows = []
-            for doc, shingles in zip(batch["id"], batch["shingles"], strict=True):
-                s = np.asarray(shingles, dtype=np.int64)
-                n = len(s)
+            if not len(batch):
+                continue
+            ids = batch["id"].to_numpy()
+            n = batch["shingles"].map(len).to_numpy(dtype=np.int64)
+            s, doc = np.concatenate(batch["shingles"].to_list()).astype(np.int64), np.repeat(np.arange(len(ids)), n)
+            bits = np.zeros((len(ids), BITS), dtype=bool)
+            bits[doc, s & (BITS - 1)] = True
+            maps = np.packbits(bits, axis=1)
+            count = np.zeros(len(s), dtype=np.int64)
+            if len(frequent):
                 spot = np.searchsorted(frequent, s)
                 spot[spot == len(frequent)] = 0
-                count = np.where(frequent[spot] == s, counts[spot], 0) if len(frequent) else np.zeros(n, dtype=np.int64)
-                order = np.lexsort((s, count))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
-                by_part: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-                block = _mix(hash_of(doc)) & 0x7FFFFFFF
-                for place, k in enumerate(order):
-                    key, blocks = int(s[k]), -(-int(count[k]) // CHUNK)
-                    if blocks <= 1:
-                        by_part[key % parts].append((key, place, 0))
-                        continue
-                    mine = block % blocks
-                    for other in range(blocks):
-                        low, high = min(mine, other), max(mine, other)
-                        cell = _mix(key, low, high)
-                        by_part[cell % parts].append((cell, place, 0 if low == high else 1 if mine == low else 2))
-                bitmap = _bitmap(s)
-                for part, entries in by_part.items():
-                    keys, places, sides = zip(*entries, strict=True)
-                    rows.append((part, doc, n, bitmap, keys, places, sides))
-            yield pd.DataFrame(rows, columns=["part", "id", "n", "bitmap", "keys", "places", "sides"])
-
-    return sets.mapInPandas(route, "part int, id string, n int, bitmap binary, keys array<long>, places array<int>, sides array<int>")
+                count = np.where(frequent[spot] == s, counts[spot], 0)
+            order = np.lexsort((s, count, doc))
+            place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+            short = place < (n - rest_of(n, threshold))[doc]
+            doc, place, s, count = doc[short], place[short], s[order][short], count[order][short]
+            hot = count > CHUNK
+            entries = [(s[~hot], doc[~hot], place[~hot], np.zeros((~hot).sum(), dtype=np.int64))]
+            cells = []
+            for k in np.flatnonzero(hot):
+                blocks = -(-int(count[k]) // CHUNK)
+                mine = (_mix(hash_of(ids[doc[k]])) & 0x7FFFFFFF) % blocks
+                for other in range(blocks):
+                    low, high = min(mine, other), max(mine, other)
+                    cells.append((_mix(int(s[k]), low, high), doc[k], place[k], 0 if low == high else 1 if mine == low else 2))
+            if cells:
+                entries.append(tuple(np.array(c, dtype=np.int64) for c in zip(*cells, strict=True)))
+            key, doc, place, side = (np.concatenate(c) for c in zip(*entries, strict=True))
+            part = key % parts
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            rows = []
+            for at in np.split(order, cuts):
+                own, number = np.unique(doc[at], return_inverse=True)
+                rows.append((int(part[at[0]]), ids[own], n[own], maps[own].tobytes(), number, key[at], place[at], side[at]))
+            yield pd.DataFrame(rows, columns=["part", "ids", "n", "bitmaps", "docs", "keys", "places", "sides"])
+
+    return sets.mapInPandas(route, _ROUTED)
+
+
+def rest_of(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Long lists of a text of n shingles: one less than any partner shares with it."""
+    return np.ceil(threshold * n - 1e-9).astype(np.int64) - 1
 
 
 def hash_of(doc: str) -> int:
@@ -117,57 +136,75 @@ def hash_of(doc: str) -> int:
     return int.from_bytes(np.frombuffer(doc.encode("utf-8") + b"\0" * (-len(doc.encode("utf-8")) % 8), dtype=np.uint64).sum(dtype=np.uint64).tobytes(), "little")
 
 
-def _pairs_of_runs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (x, y) of all pairs inside runs, a bounded number at once."""
-    for size in np.unique(sizes[sizes > 1]):
-        at = starts[sizes == size]
-        x, y = np.triu_indices(int(size), 1)
-        step = max(1, 2_000_000 // len(x))
-        for k in range(0, len(at), step):
-            base = at[k : k + step, None]
-            yield (base + x).ravel(), (base + y).ravel()
+def _in_blocks(low: np.ndarray, high: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) of every place y with the places low[y] <= x < high[y], about ``most`` at once."""
+    searching = np.flatnonzero(high > low)
+    counts = (high - low)[searching]
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(searching):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        c = counts[at:to]
+        y = np.repeat(searching[at:to], c)
+        x = low[y] + np.arange(len(y)) - np.repeat(ends[at:to] - c - done, c)
+        yield x, y
+        at = to
 
 
 def _candidates(threshold: float):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["id"].to_numpy()
-        n = group["n"].to_numpy(dtype=np.int64)
-        maps = np.frombuffer(b"".join(group["bitmap"]), dtype=np.uint64).reshape(len(ids), -1)
-        lengths = group["keys"].map(len).to_numpy()
-        doc = np.repeat(np.arange(len(ids)), lengths)
-        key, place, side = (np.concatenate(group[c].to_list()) for c in ("keys", "places", "sides"))
+        ids = np.concatenate(group["ids"].to_list())
+        n = np.concatenate(group["n"].to_list()).astype(np.int64)
+        maps = np.frombuffer(b"".join(group["bitmaps"]), dtype=np.uint64).reshape(len(ids), -1)
+        texts = group["ids"].map(len).to_numpy()
+        entries = group["keys"].map(len).to_numpy()
+        doc = np.concatenate(group["docs"].to_list()) + np.repeat(np.cumsum(texts) - texts, entries)
+        key, place, side = (np.concatenate(group[c].to_list()).astype(np.int64) for c in ("keys", "places", "sides"))
         # Members of a list in order of size, then id: the later one is the text that searches.
+        by_size = np.lexsort((ids, n))
         rank = np.empty(len(ids), dtype=np.int64)
-        rank[np.lexsort((ids, n))] = np.arange(len(ids))
-        order = np.lexsort((rank[doc], key))
+        rank[by_size] = np.arange(len(ids))
+        order = np.lexsort((rank[doc], side, key))
         doc, key, place, side = doc[order], key[order], place[order], side[order]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
+        new = np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1])]
+        run = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        # A run searches in itself; one side of a cell in the other side only.
+        partner = np.arange(len(first))
+        both = np.flatnonzero((key[first][1:] == key[first][:-1]) & (side[first][1:] == 2) & (side[first][:-1] == 1))
+        partner[side[first] > 0] = -1
+        partner[both], partner[both + 1] = both + 1, both
+        beyond = len(ids) + 1
+        spot = run * beyond + rank[doc]
+        of = partner[run]
+        # Partners of a text have threshold times its size at least: a lower bound of their rank.
+        least = np.searchsorted(n[by_size], np.ceil(threshold * n - 1e-9))
+        low = np.where(of < 0, 0, np.searchsorted(spot, of * beyond + least[doc]))
+        high = np.where(of < 0, 0, np.searchsorted(spot, of * beyond + rank[doc]))
+        rest = rest_of(n, threshold)
         found = []
-        for x, y in _pairs_of_runs(starts, sizes):
-            cross = (side[x] == 0) | (side[x] != side[y])
-            x, y = x[cross], y[cross]
+        for x, y in _in_blocks(low, high):
             b, a = doc[x], doc[y]
-            t = least_common(n[a], n[b], threshold)
-            keep = (n[b] >= threshold * n[a] - 1e-9) & (np.minimum(n[a] - place[y], n[b] - place[x]) >= t)
-            a, b, t, x = a[keep], b[keep], t[keep], x[keep]
             apart = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
-            keep = (n[a] + n[b] - apart) // 2 >= t
+            keep = (n[a] + n[b] - apart) // 2 >= least_common(n[a], n[b], threshold)
             found.append(np.stack([a[keep], key[x[keep]], rank[b[keep]]]))
-        out: list[tuple[str, str, int]] = []
+        out: list[tuple[str, str, int, int]] = []
         if sum(f.shape[1] for f in found):
             a, k, r = np.concatenate(found, axis=1)
             order = np.lexsort((r, k, a))
             a, k, r = a[order], k[order], r[order]
-            of_rank = np.argsort(rank)
             lists: dict[int, list[list[int]]] = {}
             cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (k[1:] != k[:-1])])
             for lo, hi in zip(cut, [*cut[1:], len(a)], strict=True):
                 lists.setdefault(int(a[lo]), []).append(r[lo:hi].tolist())
             for searcher, short in lists.items():
                 for member, same in groupby(heapq.merge(*short)):
-                    out.append((ids[searcher], ids[of_rank[member]], sum(1 for _ in same)))
-        return pd.DataFrame(out, columns=["a", "b", "hits"])
+                    other = by_size[member]
+                    # Common shingles that aren't hits stand in the long lists of the text whose short lists end first.
+                    needed = least_common(n[searcher], n[other], threshold) - max(rest[searcher], rest[other])
+                    out.append((ids[searcher], ids[other], sum(1 for _ in same), int(needed)))
+        return pd.DataFrame(out, columns=["a", "b", "hits", "needed"])
 
     return compare
 
@@ -205,11 +242,13 @@ def near_duplicates(spark: SparkSession, texts: DataFrame, words: int = 5, thres
     work = Workspace(spark, "neardup")
     sets = shingle_sets(texts.select(F.col("id").cast("string").alias("id"), "text").filter("id is not null and text is not null"), words, least_words)
     sets = work.cut(sets.withColumn("k1", F.xxhash64("shingles")).withColumn("k2", F.xxhash64(F.lit(7), "shingles")), "sets")
-    first = sets.groupBy("k1", "k2").agg(F.min(F.struct("id", "shingles")).alias("r"), F.count(F.lit(1)).alias("size"))
-    reps = work.cut(first.select("k1", "k2", F.col("r.id").alias("class_id"), "r.shingles", "size"), "reps")
-    several = reps.filter("size > 1").select(F.struct("k1", "k2").alias("k"), "class_id", "size")
+    key = F.struct("k1", "k2").alias("k")
+    classes = sets.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"))
+    several = work.cut(classes.filter("size > 1").select(key, "class_id", "size"), "several")
     n_texts = sets.count()
-    members = hot_split_join(sets.select("id", F.struct("k1", "k2").alias("k")), several, "k", "class_id", "size", n_texts).filter("class_id is not null").select("id", "class_id")
+    members = work.cut(hot_split_join(sets.select("id", key), several, "k", "class_id", "size", n_texts).filter("class_id is not null").select("id", "class_id"), "members")
+    # Of the sets themselves only the copies' ids are told; Spark broadcasts them while they are few.
+    reps = work.cut(sets.join(members.filter("id <> class_id").select("id"), "id", "left_anti").select(F.col("id").alias("class_id"), "shingles"), "reps")
 
     n_reps = reps.count()
     counts = reps.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
@@ -219,15 +258,17 @@ def near_duplicates(spark: SparkSession, texts: DataFrame, words: int = 5, thres
     total = reps.agg(F.sum(F.size("shingles"))).first()[0] or 0
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART)
     lists = _short_lists(reps.select(F.col("class_id").alias("id"), "shingles"), heavy, threshold, parts)
-    found = lists.groupBy("part").applyInPandas(_candidates(threshold), "a string, b string, hits long")
-    candidates = work.cut(found.groupBy("a", "b").agg(F.sum("hits").alias("hits")), "candidates")
+    found = lists.groupBy("part").applyInPandas(_candidates(threshold), "a string, b string, hits long, needed long")
+    hits = found.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("needed").alias("needed"))
+    candidates = work.cut(hits.filter("hits >= needed").select("a", "b"), "candidates")
     one = reps.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa"))
     two = reps.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb"))
     probed = candidates.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInPandas(_probe, "a string, b string, na long, nb long, common long")
     jaccard = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
     alike = probed.filter(F.col("common") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("common")) - 1e-9)
     pairs = work.cut(alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), jaccard.alias("jaccard")), "pairs")
-    return NearDuplicates(pairs, members, reps.select("class_id", "size"))
+    sizes = reps.select("class_id").join(several.select("class_id", "size"), "class_id", "left").select("class_id", F.coalesce("size", F.lit(1)).alias("size"))
+    return NearDuplicates(pairs, members, sizes)
 
 
 def expanded(found: NearDuplicates) -> DataFrame:

@@ -1,5 +1,9 @@
 import random
 import re
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 
 import pytest
 
@@ -69,3 +73,37 @@ def test_long_text(spark):
     long = " ".join(f"w{i}" for i in range(60000))
     df = spark.createDataFrame([("a", long), ("b", long + " end"), ("c", "x")], "id string, text string")
     assert {tuple(r) for r in N.expanded(N.near_duplicates(spark, df)).collect()} == {("a", "b")}
+
+
+def group_of(n, sides, full=0.2):
+    """One list with a shingle that all texts have, as a task gets it."""
+    rng = np.random.default_rng(4)
+    maps = np.packbits(rng.random((n, N.BITS)) < full, axis=1)
+    ids = np.array([f"p{i:05}" for i in range(n)], dtype=object)
+    entry = (0, ids, np.full(n, 100), maps.tobytes(), np.arange(n), np.full(n, 7), np.zeros(n, dtype=int), sides)
+    return pd.DataFrame([entry], columns=["part", "ids", "n", "bitmaps", "docs", "keys", "places", "sides"])
+
+
+def test_a_list_of_8192_members_in_bounded_memory():
+    tracemalloc.start()
+    try:
+        for sides in (np.zeros(8192, dtype=int), np.arange(8192) % 2 + 1):
+            tracemalloc.reset_peak()
+            N._candidates(0.8)(group_of(8192, sides))
+            assert tracemalloc.get_traced_memory()[1] < 400_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_blocks_of_pairs_are_whole():
+    low, high = np.array([0, 0, 0, 3, 1]), np.array([0, 1, 2, 3, 4])
+    for most in (1, 2, 3, 100):
+        got = [(int(a), int(b)) for x, y in N._in_blocks(low, high, most) for a, b in zip(x, y, strict=True)]
+        assert sorted(got) == [(0, 1), (0, 2), (1, 2), (1, 4), (2, 4), (3, 4)]
+
+
+def test_sides_meet_only_each_other():
+    n = 60
+    out = N._candidates(0.1)(group_of(n, np.arange(n) % 2 + 1, 0))
+    assert len(out) == 900 and all((int(a[1:]) + int(b[1:])) % 2 for a, b in zip(out["a"], out["b"], strict=True))
+    assert len(N._candidates(0.1)(group_of(n, np.zeros(n, dtype=int), 0))) == n * (n - 1) // 2
