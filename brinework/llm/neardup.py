@@ -183,12 +183,15 @@ def _candidates(threshold: float):
         low = np.where(of < 0, 0, np.searchsorted(spot, of * beyond + least[doc]))
         high = np.where(of < 0, 0, np.searchsorted(spot, of * beyond + rank[doc]))
         rest = rest_of(n, threshold)
+        # In the order of the lists, so that partners stand side by side.
+        listed, size = maps[doc], n[doc]
         found = []
         for x, y in _in_blocks(low, high):
-            b, a = doc[x], doc[y]
-            apart = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
-            keep = (n[a] + n[b] - apart) // 2 >= least_common(n[a], n[b], threshold)
-            found.append(np.stack([a[keep], key[x[keep]], rank[b[keep]]]))
+            apart = np.bitwise_count(listed[x] ^ listed[y]).sum(axis=1, dtype=np.int64)
+            both_sizes = size[x] + size[y]
+            keep = (both_sizes - apart) // 2 >= least_common(both_sizes, 0, threshold)
+            x, y = x[keep], y[keep]
+            found.append(np.stack([doc[y], key[x], rank[doc[x]]]))
         out: list[tuple[str, str, int, int]] = []
         if sum(f.shape[1] for f in found):
             a, k, r = np.concatenate(found, axis=1)
@@ -256,7 +259,8 @@ def near_duplicates(spark: SparkSession, texts: DataFrame, words: int = 5, thres
     heavy = spark.sparkContext.broadcast((frequent["s"].to_numpy(dtype=np.int64), frequent["n"].to_numpy(dtype=np.int64)))
 
     total = reps.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART)
+    # A text goes to most parts with its bitmap while they are few, so no more of them than the cores need.
+    parts = max(2 * spark.sparkContext.defaultParallelism, total // PART)
     lists = _short_lists(reps.select(F.col("class_id").alias("id"), "shingles"), heavy, threshold, parts)
     found = lists.groupBy("part").applyInPandas(_candidates(threshold), "a string, b string, hits long, needed long")
     hits = found.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("needed").alias("needed"))
