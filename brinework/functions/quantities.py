@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
+from functools import lru_cache, wraps
 from typing import NamedTuple
 
 G = 9.80665
@@ -73,6 +75,17 @@ for _kind, _units in _UNITS.items():
 _LONGEST = max(len(u) for _, u in _FOLDED)
 
 
+def remembered(read: Callable) -> Callable:
+    """Keeps the answers to short texts, which corpora repeat all the time; long ones are read each time."""
+    short = lru_cache(maxsize=50_000)(read)
+
+    @wraps(read)
+    def answer(text: str | None, kind: str):
+        return short(text, kind) if text is None or len(text) <= 64 else read(text, kind)
+
+    return answer
+
+
 class Unit(NamedTuple):
     offset: float
     factor: float
@@ -90,6 +103,7 @@ class Quantity(NamedTuple):
     rest: str
 
 
+@remembered
 def unit_of(text: str | None, kind: str) -> Unit | None:
     """The unit of the kind that the text is, brackets, blanks and trailing marks apart; None if it is none."""
     if not text:
@@ -113,7 +127,11 @@ def unit_of(text: str | None, kind: str) -> Unit | None:
 
 def leading_unit(text: str, kind: str) -> Unit | None:
     """The longest unit of the kind that the text starts with."""
-    text = text.lstrip(_SPACES)[: _LONGEST + 24]
+    return _leading(text.lstrip(_SPACES)[: _LONGEST + 24], kind)
+
+
+@remembered
+def _leading(text: str, kind: str) -> Unit | None:
     for end in range(len(text), 0, -1):
         if end < len(text) and (text[end - 1].isalnum() and text[end].isalnum() or text[end] in "/²³^"):
             continue
@@ -122,6 +140,7 @@ def leading_unit(text: str, kind: str) -> Unit | None:
     return None
 
 
+@remembered
 def trailing_unit(text: str | None, kind: str) -> Unit | None:
     """The unit in a heading: in its last brackets, or behind its last comma."""
     if not text:

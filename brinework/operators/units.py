@@ -32,6 +32,8 @@ HELD_OUT = 0.3
 TREES, DEPTH, SEED = 20, 9, 17
 #: Least calibrated probability of a predicted unit that is converted.
 CONFIDENT = 0.9
+#: Part of the printed units that p1_hidden hides.
+HIDDEN = 0.2
 #: Relative difference of a recorded bound from the printed one that is a fault.
 TOLERANCE = 0.01
 
@@ -112,8 +114,13 @@ FEATURES = ["code", "is_cell", "magnitude", "over_low", "under_high", "decimals"
 
 def with_features(rows: DataFrame, codes: StringIndexerModel) -> DataFrame:
     """Adds the columns the forest looks at. Groups are pre-aggregated, so a hot source costs no more than its units."""
-    for by, name in ((["near", "parameter_code"], "t_near"), (["source_id", "parameter_code"], "t_source"), (["parameter_code"], "t_usual")):
-        rows = rows.join(_usual_units(rows, by, name), by, "left")
+    # Rows without a page or table have no neighbours: spread by a number they match nothing and fill no single task.
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("record_id"), F.lit(10_000)).cast("string"))
+    near = _usual_units(rows.filter("near is not null"), ["near", "parameter_code"], "t_near")
+    rows = rows.withColumn("near", F.coalesce("near", spread)).join(near, ["near", "parameter_code"], "left")
+    rows = rows.join(_usual_units(rows, ["source_id", "parameter_code"], "t_source"), ["source_id", "parameter_code"], "left")
+    # One row per parameter of the fixed table.
+    rows = rows.join(F.broadcast(_usual_units(rows, ["parameter_code"], "t_usual")), "parameter_code", "left")
     size = F.abs(F.coalesce("low", "high"))
     magnitude = F.when(size > 0, F.log10(size)).otherwise(-12.0)
     rows = rows.withColumns(
@@ -190,33 +197,72 @@ def _scale_of(label: Column) -> tuple[Column, Column]:
     return F.element_at(offsets, bare), F.element_at(factors, bare) * scale
 
 
+def _codes(spark: SparkSession, sf_dir: str) -> StringIndexerModel:
+    return StringIndexer(inputCol="parameter_code", outputCol="code", handleInvalid="keep").fit(parameters(spark, sf_dir))
+
+
+def _opinions(predictor: UnitPredictor | None, rows: DataFrame) -> DataFrame:
+    if predictor is None:
+        return rows.withColumn("predicted", F.lit(None).cast("string")).withColumn("probability", F.lit(0.0))
+    return predictor.predict(rows)
+
+
+def _in_common(scored: DataFrame) -> DataFrame:
+    """Basis of each row's unit, and its bounds in the common unit; predicted units below CONFIDENT convert nothing."""
+    offset, factor = _scale_of(F.col("predicted"))
+    confident = F.col("unit").isNull() & (F.col("probability") >= CONFIDENT)
+    scored = scored.withColumn("basis", F.when(F.col("unit").isNotNull(), "PRINTED").when(confident, "PREDICTED").otherwise("REVIEW"))
+    scored = scored.withColumn("offset", F.coalesce("offset", F.when(confident, offset))).withColumn("factor", F.coalesce("factor", F.when(confident, factor)))
+    return scored.withColumns({c: (F.col(b) + F.col("offset")) * F.col("factor") for c, b in (("common_low", "low"), ("common_high", "high"))})
+
+
 def converted(spark: SparkSession, sf_dir: str, review_all: bool = False) -> DataFrame:
     """Every reading with its bounds in the parameter's common unit.
 
     basis: PRINTED, PREDICTED (no unit printed, confident) or REVIEW (no unit
     printed, not confident: bounds are null).  With ``review_all`` the forest
     also scores printed units: predicted and probability are then never null.
+    Where every reading has a printed unit and no opinion is asked for, there
+    is nothing to predict and nothing is fitted.
     """
     work = Workspace(spark, "units")
     rows = work.cut(readings(spark, sf_dir), "readings")
-    codes = StringIndexer(inputCol="parameter_code", outputCol="code", handleInvalid="keep").fit(parameters(spark, sf_dir))
+    columns = ["record_kind", "record_id", "parameter_code", "si_low", "si_high", "si_min", "si_max", "low", "high", "unit", "offset", "factor", "predicted", "probability"]
+    opinionless = rows.withColumn("predicted", F.lit(None).cast("string")).withColumn("probability", F.lit(None).cast("double")).select(*columns)
+    if not review_all and rows.filter("unit is null").isEmpty():
+        return _in_common(opinionless)
+    codes = _codes(spark, sf_dir)
     featured = work.cut(with_features(rows, codes), "features")
-    printed, missing = featured.filter("unit is not null"), featured.filter("unit is null")
-    predictor = fit_predictor(printed, codes)
-    scored = featured if review_all else missing
-    if predictor is None:
-        scored = scored.withColumn("predicted", F.lit(None).cast("string")).withColumn("probability", F.lit(0.0))
-    else:
-        scored = predictor.predict(scored)
-    offset, factor = _scale_of(F.col("predicted"))
-    confident = F.col("unit").isNull() & (F.col("probability") >= CONFIDENT)
-    scored = scored.withColumn("basis", F.when(F.col("unit").isNotNull(), "PRINTED").when(confident, "PREDICTED").otherwise("REVIEW"))
-    scored = scored.withColumn("offset", F.coalesce("offset", F.when(confident, offset))).withColumn("factor", F.coalesce("factor", F.when(confident, factor)))
-    columns = ["record_kind", "record_id", "parameter_code", "si_low", "si_high", "si_min", "si_max", "low", "high", "unit", "offset", "factor", "basis", "predicted", "probability"]
+    predictor = fit_predictor(featured.filter("unit is not null"), codes)
+    scored = _opinions(predictor, featured if review_all else featured.filter("unit is null")).select(*columns)
     if not review_all:
-        scored = scored.select(*columns).unionByName(printed.withColumn("basis", F.lit("PRINTED")).withColumn("predicted", F.lit(None).cast("string")).withColumn("probability", F.lit(None).cast("double")).select(*columns))
-    common = {c: (F.col(b) + F.col("offset")) * F.col("factor") for c, b in (("common_low", "low"), ("common_high", "high"))}
-    return scored.select(*columns).withColumns(common)
+        scored = scored.unionByName(opinionless.filter("unit is not null"))
+    return _in_common(scored)
+
+
+def hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the forest does where it must: the printed units of a part of all readings, chosen by hash, are hidden from it.
+
+    Per parameter: readings with a printed unit, those hidden, those of them
+    converted by a confident prediction and sent to review, and how many of
+    the converted have both bounds within TOLERANCE of the printed ones.
+    """
+    work = Workspace(spark, "hidden")
+    rows = work.cut(readings(spark, sf_dir).filter("unit is not null"), "readings")
+    hide = F.pmod(F.xxhash64(F.lit("hidden"), "record_kind", "record_id"), F.lit(1000)) < int(1000 * HIDDEN)
+    masked = rows.withColumn("was_offset", F.col("offset")).withColumn("was_factor", F.col("factor"))
+    masked = masked.withColumns({c: F.when(~hide, F.col(c)) for c in ("unit", "offset", "factor")})
+    codes = _codes(spark, sf_dir)
+    featured = work.cut(with_features(masked, codes), "features")
+    told = _in_common(_opinions(fit_predictor(featured.filter("unit is not null"), codes), featured.filter("unit is null")))
+
+    def near(bound: str) -> Column:
+        was = (F.col(bound) + F.col("was_offset")) * F.col("was_factor")
+        return F.col(bound).isNull() | (F.abs(F.col("common_" + bound) - was) <= TOLERANCE * F.abs(was))
+
+    right = (F.col("basis") == "PREDICTED") & near("low") & near("high")
+    found = told.groupBy("parameter_code").agg(F.count(F.lit(1)).alias("hidden"), F.count_if(F.col("basis") == "PREDICTED").alias("converted"), F.count_if(F.col("basis") == "REVIEW").alias("review"), F.count_if(right).alias("right"))
+    return rows.groupBy("parameter_code").agg(F.count(F.lit(1)).alias("readings")).join(found, "parameter_code", "left").fillna(0)
 
 
 def faults(rows: DataFrame) -> DataFrame:
@@ -243,5 +289,10 @@ def p1_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return converted(spark, sf_dir, review_all=True).select("record_kind", "record_id", "parameter_code", "basis", "unit", "predicted", F.round("probability", 6).alias("probability"), "common_low", "common_high")
 
 
-QUERIES = {"p1_found": p1_found, "p1_units": p1_units}
+def p1_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per parameter, what becomes of readings whose printed unit is hidden: converted, right, left for review."""
+    return hidden(spark, sf_dir)
+
+
+QUERIES = {"p1_found": p1_found, "p1_units": p1_units, "p1_hidden": p1_hidden}
 ORACLES: dict[str, str] = {}

@@ -68,3 +68,21 @@ def test_held_out(spark):
     rows.unpersist()
     assert share > 0.2 * n and right >= 0.9 * share
     assert scored.filter(~F.startswith("predicted", F.concat("kind", F.lit("|")))).count() == 0
+
+
+def test_hidden_units_as_a_query(spark):
+    """Confident predictions of hidden units are right, the others wait for review; nothing is lost."""
+    from conftest import DATA
+
+    if not (DATA / "sf0.01").is_dir():
+        return
+    rows = units.p1_hidden(spark, str(DATA / "sf0.01")).collect()
+    total = {k: sum(r[k] for r in rows) for k in ("readings", "hidden", "converted", "review", "right")}
+    assert total["converted"] + total["review"] == total["hidden"] and 0.15 * total["readings"] < total["hidden"] < 0.25 * total["readings"]
+    assert total["converted"] > 0.2 * total["hidden"] and total["right"] >= 0.9 * total["converted"]
+
+
+def test_missing_units_go_through_the_forest(spark, tables):
+    """With too few labelled rows nothing can be predicted: a value without a unit is left for review."""
+    d = tables(passport_parameters=[UCS], passport_evidence=[evidence(1), evidence(2, unit_as_printed=None, quote=None, page_id="p")])
+    assert {r["record_id"]: r["basis"] for r in units.converted(spark, d).collect()} == {"E1": "PRINTED", "E2": "REVIEW"}
