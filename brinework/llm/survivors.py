@@ -8,6 +8,10 @@ or equals on every axis) is resolved by the lexicographic policy mark, trust,
 recency, id; where a group's own first layer has no value, the skyline of the
 field's candidates lies in a later layer and the value comes from there.
 
+``layers`` tells the layer of each value's row: the skyline of the group's rows
+is layer 1, that of the rest layer 2 and so on; a value of layer 3 filled what
+two layers had left null.
+
 Peeling the layers field by field is needed: filling strictly from the layers
 of whole records can prefer a row of an early layer that the policy ranks
 below one of a later layer.
@@ -67,11 +71,11 @@ def candidates(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def skyline_winners(cands: DataFrame) -> DataFrame:
-    """group_id, field_name, record_id, value, undominated: the policy's choice from each field's skyline."""
+    """group_id, field_name, record_id, value, mark, trust, at, undominated: the policy's choice from each field's skyline."""
     beats = lambda y, x: (y["mark"] >= x["mark"]) & (y["trust"] <= x["trust"]) & (y["at"] >= x["at"]) & ((y["mark"] > x["mark"]) | (y["trust"] < x["trust"]) | (y["at"] > x["at"]))
     rows = cands.groupBy("group_id", "field_name").agg(F.collect_list(F.struct((~F.col("mark")).alias("unmarked"), "trust", (-F.col("at")).alias("age"), "record_id", "value", "mark", "at")).alias("rows"))
     top = F.filter("rows", lambda x: ~F.exists("rows", lambda y: beats(y, x)))
-    return rows.select("group_id", "field_name", top.alias("skyline")).select("group_id", "field_name", F.array_min("skyline").alias("best"), F.size("skyline").alias("undominated")).select("group_id", "field_name", "best.record_id", "best.value", "undominated")
+    return rows.select("group_id", "field_name", top.alias("skyline")).select("group_id", "field_name", F.array_min("skyline").alias("best"), F.size("skyline").alias("undominated")).select("group_id", "field_name", "best.record_id", "best.value", "best.mark", "best.trust", "best.at", "undominated")
 
 
 def survivors(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -83,6 +87,31 @@ def survivors(rows: DataFrame, fields: list[str]) -> DataFrame:
     return skyline_winners(candidates(rows.filter("group_id is not null"), fields))
 
 
+def layers(rows: DataFrame, won: DataFrame) -> DataFrame:
+    """``won`` with mark, trust, at of each value's row, plus its dominance layer among all rows of the group, from 1.
+
+    Rows of one mark and trust form a class, which stands where its latest row
+    does; a row's layer is one more than the deepest class that dominates it.
+    A group has at most twice as many classes as there are trust ranks.
+    """
+    at = F.coalesce(F.unix_micros(F.col("recency").cast("timestamp")), F.lit(-(2**62)))
+    classes = rows.filter("group_id is not null").groupBy("group_id", (~F.col("mark")).alias("unmarked"), "trust").agg(F.max(at).alias("at"))
+    placed = "struct<unmarked:boolean,trust:int,at:bigint,layer:int>"
+
+    def above(done: Column, x: Column) -> Column:
+        over = F.filter(done, lambda y: (y["unmarked"] <= x["unmarked"]) & (y["trust"] <= x["trust"]) & (y["at"] >= x["at"]) & ((y["unmarked"] < x["unmarked"]) | (y["trust"] < x["trust"]) | (y["at"] > x["at"])))
+        return F.coalesce(F.array_max(F.transform(over, lambda y: y["layer"])), F.lit(0))
+
+    def place(done: Column, x: Column) -> Column:
+        return F.concat(done, F.array(F.struct(x["unmarked"].alias("unmarked"), x["trust"].cast("int").alias("trust"), x["at"].alias("at"), (above(done, x) + 1).alias("layer")).cast(placed)))
+
+    # In this order whatever dominates a class comes before it.
+    ordered = F.array_sort(F.collect_list(F.struct("unmarked", "trust", (-F.col("at")).alias("age"), "at")))
+    peeled = classes.groupBy("group_id").agg(F.aggregate(ordered, F.array().cast(f"array<{placed}>"), place).alias("classes"))
+    row = F.struct((~F.col("mark")).alias("unmarked"), "trust", "at")
+    return won.join(peeled, "group_id").withColumn("layer", above(F.col("classes"), row) + 1).drop("classes")
+
+
 EVIDENCE_FIELDS = ["value_as_printed", "unit_as_printed", "material_as_printed", "conditions", "method_used", "n_samples", "cited_ref"]
 UNIT_FIELDS = ["work_id", "pub_year", "cosine"]
 
@@ -113,13 +142,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The surviving evidence records themselves: a column per field."""
-    won = survivors(evidence_rows(spark, sf_dir), EVIDENCE_FIELDS)
-    return won.groupBy("group_id").agg(*(F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in EVIDENCE_FIELDS))
+    """The surviving evidence records themselves: a column per field, and beside it the dominance layer its value came from."""
+    rows = evidence_rows(spark, sf_dir)
+    won = layers(rows, survivors(rows, EVIDENCE_FIELDS))
+    of = lambda f, c: F.max(F.when(F.col("field_name") == f, F.col(c)))
+    return won.groupBy("group_id").agg(*(x for f in EVIDENCE_FIELDS for x in (of(f, "value").alias(f), of(f, "layer").alias(f"{f}_layer"))))
 
 
 _ORACLE_RANKS = "SELECT source_id, min(trust_rank) AS trust FROM sources WHERE trust_rank IS NOT NULL GROUP BY source_id"
-_NO_VALUE = ", ".join("'" + s + "'" for s in STAND_INS)
+# Fixed values, stated again for the SQL: what stands for a missing value.
+_NO_VALUE = """'-', '—', '–', '−', '?', '...', '…', 'n/a', 'na', 'n.a.', 'none', 'null', 'nan', 'н/д', 'нет данных', 'не указано', 'нет', 'без данных', 'unknown', 'not available', 'not given', 'no data', 'k.a.', 'keine angabe'"""
 
 
 def _oracle_branch(rows: str, fields: list[tuple[str, str]], record: str, time: str) -> str:

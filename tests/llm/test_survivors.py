@@ -45,3 +45,12 @@ def test_spelling_states_and_nulls(spark, tables):
         nav_dup_members=[{"cluster_id": "D", "unit_id": "U", "cosine": float("nan"), "pub_year": 9999, "work_id": "w", "recorded_at": T}],
     )
     assert {tuple(r) for r in S.p5_found(spark, d).collect()} == {("CC-1", "unit_as_printed", "E2"), ("CC-1", "conditions", "E5"), ("D", "work_id", "U")}
+
+
+def test_layers(spark):
+    """A value from the third layer: two newer and better trusted rows have none."""
+    t = lambda d: datetime.datetime(2024, 1, d)
+    rows = [("g", "r1", True, 1, t(9), "a", None), ("g", "r2", False, 1, t(8), None, None), ("g", "r3", False, 2, t(7), None, "x"), ("g", "r4", False, 3, t(8), None, None), ("h", "r5", False, 1, None, None, "y")]
+    df = spark.createDataFrame(rows, "group_id string, record_id string, mark boolean, trust int, recency timestamp, f string, k string")
+    found = {(r["group_id"], r["field_name"]): (r["record_id"], r["layer"]) for r in S.layers(df, S.survivors(df, ["f", "k"])).collect()}
+    assert found == {("g", "f"): ("r1", 1), ("g", "k"): ("r3", 3), ("h", "k"): ("r5", 1)}
