@@ -5,34 +5,87 @@ A ranking is a table (qid, doc, score) or (qid, doc, rank); ranks count from 1.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+#: Queries and documents of a block.
+ASKED, SEARCHED = 256, 512
 
 
-def postings(docs: DataFrame, doc: str, tokens: str) -> DataFrame:
-    """doc, term, tf, dl of documents with their token arrays."""
-    terms = docs.select(F.col(doc).alias("doc"), F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
-    return terms.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
+def bm25(docs: DataFrame, doc: str, tokens: str, queries: DataFrame, k: int, exclude_self: bool = True, places: float | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """qid, doc, score, rank: the k best documents of each query (R-01). queries: qid, terms (array).
 
-def bm25(posts: DataFrame, docs: DataFrame, doc: str, tokens: str, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, doc, score (R-01). queries: qid, terms (array).
+    A stated set of queries meets all documents block by block, as in vector
+    search: the terms that a block of queries and a block of documents share
+    make two small matrices, one product scores all their pairs, and k rows a
+    query leave the block.  No posting list is ever formed or shuffled, so a
+    common term costs a column, not a join.  Weights are whole numbers on a
+    grid of 2^-24: sums are exact and ties don't depend on any order.
 
-    Only postings of query terms are scored, and their document frequencies
-    counted on them.  Parts are summed on a grid of 2^-24, so that scores and
-    ties don't depend on the order of addition.
+    Terms are 64-bit hashes; document frequencies are counted over all
+    documents for the terms that queries have.  ``places``: scores are rounded
+    to 1 / places before they are ranked.  Documents that share no term with a
+    query aren't ranked for it; a null array has no terms.
     """
-    wanted = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    size = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens)).alias("avgdl"))
-    hit = posts.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = hit.join(df, "term").crossJoin(F.broadcast(size))
+    hashed = docs.filter(F.col(tokens).isNotNull()).select(F.col(doc).alias("doc"), F.transform(tokens, lambda t: F.xxhash64(t)).alias("terms"))
+    wanted = queries.filter("terms is not null").select("qid", F.explode(F.array_distinct(F.transform("terms", lambda t: F.xxhash64(t)))).alias("term"))
+    size = hashed.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avgdl"))
+    df = hashed.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    grid = F.floor(part * float(1 << 24) + 0.5)
-    return weighed.select("term", "doc", grid.alias("part")).join(wanted, "term").groupBy("qid", "doc").agg((F.sum("part") / float(1 << 24)).alias("score"))
+    asked = wanted.join(df.select("term", idf.alias("idf")), "term").groupBy("qid").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idfs"))
+    drag = k1 * (1 - b + b * F.size("terms") / F.col("avgdl"))
+    sized = hashed.filter(F.size("terms") > 0).crossJoin(F.broadcast(size)).select("doc", "terms", drag.alias("drag"))
+
+    def pack_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), ASKED):
+                part = batch.iloc[at : at + ASKED]
+                terms, first = np.unique(np.concatenate(part["terms"].to_list()), return_index=True)
+                number = [np.searchsorted(terms, t).astype(np.int32) for t in part["terms"]]
+                yield pd.DataFrame({"q_ids": [part["qid"].to_numpy(dtype=np.int64).tobytes()], "q_sizes": [np.array([len(t) for t in number]).tobytes()], "q_at": [np.concatenate(number).tobytes()], "q_terms": [terms.tobytes()], "q_idfs": [np.concatenate(part["idfs"].to_list())[first].tobytes()]})
+
+    def pack_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), SEARCHED):
+                part = batch.iloc[at : at + SEARCHED]
+                counted = [np.unique(t, return_counts=True) for t in part["terms"]]
+                yield pd.DataFrame({"d_ids": [part["doc"].to_numpy(dtype=np.int64).tobytes()], "d_sizes": [np.array([len(t) for t, _ in counted]).tobytes()], "d_terms": [np.concatenate([t for t, _ in counted]).tobytes()], "d_tf": [np.concatenate([n for _, n in counted]).astype(np.float64).tobytes()], "d_drag": [part["drag"].to_numpy(dtype=np.float64).tobytes()]})
+
+    blocks = sized.mapInPandas(pack_docs, "d_ids binary, d_sizes binary, d_terms binary, d_tf binary, d_drag binary").crossJoin(asked.mapInPandas(pack_queries, "q_ids binary, q_sizes binary, q_at binary, q_terms binary, q_idfs binary"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ints = lambda x, of=np.int64: np.frombuffer(x, dtype=of)
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                asked_ids, doc_ids, vocabulary = ints(r.q_ids), ints(r.d_ids), ints(r.q_terms)
+                terms, tf, of_doc = ints(r.d_terms), ints(r.d_tf, np.float64), np.repeat(np.arange(len(doc_ids)), ints(r.d_sizes))
+                spot = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+                known = vocabulary[spot] == terms
+                if not known.any():
+                    continue
+                spot, tf, of_doc = spot[known], tf[known], of_doc[known]
+                shared, column = np.unique(spot, return_inverse=True)
+                weights = np.zeros((len(doc_ids), len(shared)))
+                part = ints(r.q_idfs, np.float64)[spot] * tf * (k1 + 1) / (tf + ints(r.d_drag, np.float64)[of_doc])
+                weights[of_doc, column] = np.floor(part * float(1 << 24) + 0.5)
+                has = np.zeros((len(asked_ids), len(vocabulary)), dtype=bool)
+                has[np.repeat(np.arange(len(asked_ids)), ints(r.q_sizes)), ints(r.q_at, np.int32)] = True
+                scores = has[:, shared].astype(np.float64) @ weights.T
+                none = scores == 0
+                scores /= float(1 << 24)
+                if places:
+                    scores = np.floor(scores * places + 0.5) / places
+                scores[none | (exclude_self & (asked_ids[:, None] == doc_ids[None, :]))] = -np.inf
+                best = np.lexsort((np.broadcast_to(doc_ids, scores.shape), -scores), axis=1)[:, :k]
+                out = pd.DataFrame({"qid": np.repeat(asked_ids, best.shape[1]), "doc": doc_ids[best].ravel(), "score": np.take_along_axis(scores, best, axis=1).ravel()})
+                yield out[np.isfinite(out["score"])]
+
+    return ranked(blocks.mapInPandas(score, "qid long, doc long, score double"), k=k)
 
 
 def ranked(scores: DataFrame, score: str = "score", k: int | None = None) -> DataFrame:

@@ -171,10 +171,8 @@ SELECT qid, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid
 def bm25_topk(t: Tables) -> DataFrame:
     """R-01: every twentieth document asks with all its words; scores are summed on a dyadic grid."""
     docs = _words(t)
-    posts = retrieval.postings(docs, "doc_id", "w")
     asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("w").alias("terms"))
-    s = retrieval.bm25(posts, docs, "doc_id", "w", asked).filter("doc <> qid").withColumn("score", F.floor(F.col("score") * 1e4 + 0.5) / 1e4)
-    return retrieval.ranked(s, k=5).select("qid", "doc", "score", F.col("rank").cast("long").alias("rank"))
+    return retrieval.bm25(docs, "doc_id", "w", asked, 5, places=1e4).select("qid", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(rf"""
