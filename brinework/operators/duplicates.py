@@ -84,13 +84,19 @@ def label_propagation(spark: SparkSession, pairs: DataFrame, max_rounds: int = 5
     """
     work = Workspace(spark, "labels")
     both = work.cut(pairs.select(F.col("a").alias("id"), F.col("b").alias("near")).unionAll(pairs.select(F.col("b").alias("id"), F.col("a").alias("near"))).distinct(), "edges")
-    labels = work.cut(both.groupBy("id").agg(F.least(F.min("near"), F.col("id")).alias("label")), "labels0")
+    labels = work.cut(both.groupBy("id").agg(F.least(F.min("near"), F.col("id")).alias("label"), F.count(F.lit(1)).alias("degree")), "labels0")
+    total = both.count()
     for k in range(1, max_rounds + 1):
-        near = both.join(labels.select(F.col("id").alias("near"), F.col("label").alias("other")), "near").groupBy("id").agg(F.min("other").alias("other"))
-        lower = labels.join(near, "id").select("id", "label", F.least("label", "other").alias("lower"))
-        jumped = lower.join(labels.select(F.col("id").alias("lower"), F.col("label").alias("far")), "lower", "left").select("id", "label", F.least("lower", F.coalesce("far", "lower")).alias("now"))
+        # A hub is the neighbour of very many: its rows are spread.
+        of = labels.select(F.col("id").alias("near"), F.col("label").alias("other"), "degree")
+        near = hot_split_join(both, of, "near", "other", "degree", total).groupBy("id").agg(F.min("other").alias("other"))
+        lower = work.cut(labels.join(near, "id").select("id", "label", "degree", F.least("label", "other").alias("lower")), f"lower{k}")
+        # So is a label that very many share already.
+        shared = lower.groupBy("lower").agg(F.count(F.lit(1)).alias("weight"))
+        far = shared.join(labels.select(F.col("id").alias("lower"), F.col("label").alias("far")), "lower", "left")
+        jumped = hot_split_join(lower, far, "lower", "far", "weight", total).select("id", "label", "degree", F.least("lower", F.coalesce("far", "lower")).alias("now"))
         step = work.cut(jumped, f"labels{k}")
         if step.filter("now <> label").isEmpty():
             return step.select("id", "label")
-        labels = step.select("id", F.col("now").alias("label"))
+        labels = step.select("id", F.col("now").alias("label"), "degree")
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

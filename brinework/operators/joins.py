@@ -13,19 +13,24 @@ from ..checkpoint import Workspace
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, width: int) -> DataFrame:
     """Points inside closed intervals of the same key; null bounds are open (J-04, J-05).
 
-    Bins of ``width`` make it an equi-join: an interval is repeated for the
-    bins it meets, a point has one bin.  Intervals with an open side would meet
-    any number of bins, so they are joined on the key alone, by residual.
+    Bins make it an equi-join.  An interval is binned at the level whose bins
+    (``width`` times a power of two) are at least as long as itself, so it
+    meets two bins at most, however long it is; a point has one bin for each
+    level that occurs, of which there can't be more than 64.  Open sides are
+    closed at the least or greatest point, so they spread over bins as well
+    and no key's rows have to meet in one task.
     """
-    whole = intervals.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
-    open_ = intervals.filter(F.col(start).isNull() | F.col(end).isNull())
-    bins = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))
-    binned = whole.filter(F.col(start) <= F.col(end)).withColumn("__bin", bins)
-    tagged = points.withColumn("__bin", F.floor(F.col(at) / width))
-    inside = tagged.join(binned, [key, "__bin"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("__bin")
-    low, high = F.coalesce(F.col(start), F.col(at)), F.coalesce(F.col(end), F.col(at))
-    rest = points.join(open_, key).filter(F.col(at).between(low, high))
-    return inside.unionByName(rest)
+    edge = points.agg(F.min(at).alias("__least"), F.max(at).alias("__most"))
+    closed = intervals.crossJoin(F.broadcast(edge)).withColumns({"__s": F.coalesce(start, "__least"), "__e": F.coalesce(end, "__most")}).filter("__s <= __e").drop("__least", "__most")
+    size = F.greatest((F.col("__e") - F.col("__s")).cast("double") / width, F.lit(1.0))
+    leveled = closed.withColumn("__level", F.ceil(F.log2(size)).cast("int"))
+    wide = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("__level"))
+    binned = leveled.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__s") / wide), F.floor(F.col("__e") / wide)))).drop("__s", "__e")
+    levels = leveled.select("__level").distinct()
+    tagged = points.filter(F.col(at).isNotNull()).crossJoin(F.broadcast(levels)).withColumn("__bin", F.floor(F.col(at) / wide))
+    met = tagged.join(binned, [key, "__level", "__bin"])
+    inside = F.coalesce(F.col(start) <= F.col(at), F.lit(True)) & F.coalesce(F.col(at) <= F.col(end), F.lit(True))
+    return met.filter(inside).drop("__level", "__bin")
 
 
 def array_overlap_join(left: DataFrame, right: DataFrame, left_id: str, left_array: str, right_id: str, right_array: str) -> DataFrame:
@@ -35,19 +40,41 @@ def array_overlap_join(left: DataFrame, right: DataFrame, left_id: str, left_arr
     return a.join(b, "__e").select(left_id, right_id).distinct()
 
 
-def latest_before(left: DataFrame, right: DataFrame, key: str, at: str, stamp: str, tie: str) -> DataFrame:
+def _number(df: DataFrame, column: str) -> Column:
+    """A time or number as a double, for bucketing only."""
+    kind = df.schema[column].dataType.typeName()
+    if kind.startswith("timestamp") or kind == "date":
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")
+
+
+def latest_before(left: DataFrame, right: DataFrame, key: str, at: str, stamp: str, tie: str, buckets: int = 64) -> DataFrame:
     """As-of join (J-19): per left row the right row of its key with the greatest stamp <= at.
 
-    Both sides are stacked and read in order of time, so each is shuffled once
-    by the key and no pair of a key is formed but the one wanted.  ``tie``
-    tells right rows of one stamp apart: the greatest wins.
+    Both sides are stacked and cut into buckets of time; a window reads each
+    (key, bucket) in order, so a key that has a large part of all rows is read
+    by as many tasks as it has buckets.  What a bucket inherits is the last
+    right row of the buckets before it: one row per (key, bucket).  No pair of
+    a key is formed but the one wanted.  ``tie`` tells right rows of one stamp
+    apart: the greatest wins.  Null keys and times match nothing.
     """
     kept = [c for c in right.columns if c != key]
-    lefts = left.select(key, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*(c for c in left.columns if c != key)).alias("__l"))
-    rights = right.select(key, F.col(stamp).alias("__t"), F.lit(0).alias("__side"), F.struct(*kept).alias("__r"), F.col(tie).alias("__tie"))
+    lefts = left.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
+    rights = right.filter(F.col(key).isNotNull() & F.col(stamp).isNotNull())
+    lefts = lefts.select(key, F.col(at).alias("__t"), _number(left, at).alias("__n"), F.lit(1).alias("__side"), F.struct(*(c for c in left.columns if c != key)).alias("__l"))
+    rights = rights.select(key, F.col(stamp).alias("__t"), _number(right, stamp).alias("__n"), F.lit(0).alias("__side"), F.struct(*kept).alias("__r"), F.col(tie).alias("__tie"))
     both = lefts.unionByName(rights, allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("__last", F.last("__r", ignorenulls=True).over(order)).filter("__side = 1 and __last is not null")
+    edge = rights.agg(F.min("__n").alias("__low"), F.max("__n").alias("__high"))
+    share = (F.col("__n") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
+    bucket = F.least(F.greatest(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(0)), F.lit(buckets)).cast("int")
+    both = both.crossJoin(F.broadcast(edge)).withColumn("__bucket", bucket).drop("__low", "__high", "__n")
+    lasts = both.filter("__side = 0").groupBy(key, "__bucket").agg(F.max_by("__r", F.struct("__t", "__tie")).alias("__r"))
+    # A key's buckets are few; what each hands on is known before any row is read.
+    handed = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    every = both.select(key, "__bucket").distinct().join(lasts, [key, "__bucket"], "left").withColumn("__before", F.last("__r", ignorenulls=True).over(handed)).select(key, "__bucket", "__before")
+    order = Window.partitionBy(key, "__bucket").orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("__own", F.last("__r", ignorenulls=True).over(order)).filter("__side = 1").join(every, [key, "__bucket"], "left")
+    seen = seen.withColumn("__last", F.coalesce("__own", "__before")).filter("__last is not null")
     return seen.select(key, "__l.*", *(F.col("__last")[c].alias(c) for c in kept))
 
 
@@ -100,5 +127,6 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, l
     b = right.select(F.col(right_id).alias("b"), F.col(right_text).alias("y"), block)
     longer = F.greatest(F.length("x"), F.length("y"))
     near = F.abs(F.length("x") - F.length("y")) <= longer * (1 - least)
-    ratio = 1 - F.levenshtein("x", "y") / longer
-    return a.join(b, block).filter(near).withColumn("similarity", ratio).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    # Beyond the distance that the ratio allows the count stops and is -1.
+    distance = F.expr(f"levenshtein(x, y, cast(greatest(length(x), length(y)) * {1 - least} + 1e-9D as int))")
+    return a.join(b, block).filter(near).withColumn("__d", distance).filter("__d >= 0").withColumn("similarity", 1 - F.col("__d") / longer).drop("__d").filter(F.col("similarity") >= least).select("a", "b", "similarity")

@@ -52,6 +52,21 @@ def _packed(rows: DataFrame, key: str, vector: str, size: int, name: str) -> Dat
     return rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(pack, f"{name}_ids binary, {name}_matrix binary, {name}_dim int")
 
 
+def _best(scores: np.ndarray, asked: np.ndarray, docs: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k best of a block of scores, rounded to 1e-6, ties by id."""
+    scores = np.floor(scores * 1e6 + 0.5) / 1e6
+    if exclude_self:
+        scores[asked[:, None] == docs[None, :]] = -np.inf
+    order = np.lexsort((np.broadcast_to(docs, scores.shape), -scores), axis=1)[:, :k]
+    out = pd.DataFrame({"qid": np.repeat(asked, order.shape[1]), "doc": docs[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
+    return out[np.isfinite(out["score"])]
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))
+    return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+
+
 def search(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, exclude_self: bool = True) -> DataFrame:
     """qid, doc, score, rank: the k best by inner product, exact (R-03, J-17).
 
@@ -66,16 +81,9 @@ def search(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int,
             for r in batch.itertuples(index=False):
                 docs, asked = np.frombuffer(r.c_ids, dtype=np.int64), np.frombuffer(r.q_ids, dtype=np.int64)
                 scores = np.frombuffer(r.q_matrix).reshape(len(asked), -1) @ np.frombuffer(r.c_matrix).reshape(len(docs), -1).T
-                scores = np.floor(scores * 1e6 + 0.5) / 1e6
-                if exclude_self:
-                    scores[asked[:, None] == docs[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(docs, scores.shape), -scores), axis=1)[:, :k]
-                out = pd.DataFrame({"qid": np.repeat(asked, order.shape[1]), "doc": docs[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
-                yield out[np.isfinite(out["score"])]
-
-    found = blocks.mapInPandas(best, "qid long, doc long, score double")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))
-    return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+                yield _best(scores, asked, docs, k, exclude_self)
+
+    return _ranked(blocks.mapInPandas(best, "qid long, doc long, score double"), k)
 
 
 def mean_vector(rows: DataFrame, group: list[str], vector: str, weight: Column | None = None) -> DataFrame:
@@ -87,11 +95,11 @@ def mean_vector(rows: DataFrame, group: list[str], vector: str, weight: Column |
     return whole.withColumn("mean", unit(F.col("mean")))
 
 
-def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:
-    """qid, doc, score: sum over query tokens of the best document token (R-06). Tokens: id, pos, vec.
+def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+    """qid, doc, score, rank: the k best by the sum over query tokens of the best document token (R-06). Tokens: id, pos, vec.
 
     Tokens are gathered to a matrix per text; blocks of the stated queries meet
-    blocks of documents, as in ``search``.
+    blocks of documents and hand on k rows a query, as in ``search``.
     """
     matrix = F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda t: t["vec"])
 
@@ -113,7 +121,33 @@ def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:
                 starts = [np.r_[0, np.cumsum(np.frombuffer(s, dtype=np.int64))[:-1]] for s in (r.q_sizes, r.d_sizes)]
                 best = np.maximum.reduceat(q @ d.T, starts[1], axis=1)
                 total = np.add.reduceat(best, starts[0], axis=0)
-                asked, docs = np.frombuffer(r.q_ids, dtype=np.int64), np.frombuffer(r.d_ids, dtype=np.int64)
-                yield pd.DataFrame({"qid": np.repeat(asked, len(docs)), "doc": np.tile(docs, len(asked)), "score": total.ravel()})
+                yield _best(total, np.frombuffer(r.q_ids, dtype=np.int64), np.frombuffer(r.d_ids, dtype=np.int64), k, exclude_self)
 
-    return packed(doc_tokens, "d").crossJoin(packed(query_tokens, "q")).mapInPandas(score, "qid long, doc long, score double")
+    return _ranked(packed(doc_tokens, "d").crossJoin(packed(query_tokens, "q")).mapInPandas(score, "qid long, doc long, score double"), k)
+
+
+def csls(queries: DataFrame, side_a: DataFrame, side_b: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
+    """a, b, csls: for every query (of side a) the vectors of side b with the greatest 2 * product - level(a) - level(b), ties kept (K-21).
+
+    A level is the mean of the k best products with the whole other side.  The
+    levels travel with the vectors, so a pair of blocks hands on the best of
+    each query only; no table of all pairs is formed.
+    """
+    level = lambda found, name: found.groupBy(F.col("qid").alias(key)).agg(F.avg("score").alias(name))
+    asked = queries.select(key, vector).join(level(search(queries, side_b, key, vector, k, False), "level"), key)
+    other = side_b.select(key, vector).join(level(search(side_b, side_a, key, vector, k, False), "level"), key)
+    leveled = lambda df: df.select(key, F.concat(F.transform(vector, lambda x: x.cast("double")), F.array("level")).alias("leveled"))
+    blocks = _packed(leveled(other), key, "leveled", CORPUS_BLOCK, "c").crossJoin(_packed(leveled(asked), key, "leveled", QUERY_BLOCK, "q"))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                docs, asked_ids = np.frombuffer(r.c_ids, dtype=np.int64), np.frombuffer(r.q_ids, dtype=np.int64)
+                q, c = np.frombuffer(r.q_matrix).reshape(len(asked_ids), -1), np.frombuffer(r.c_matrix).reshape(len(docs), -1)
+                product = np.floor(q[:, :-1] @ c[:, :-1].T * 1e6 + 0.5) / 1e6
+                score = np.floor((2 * product - q[:, -1:] - c[:, -1]) * 1e6 + 0.5) / 1e6
+                i, j = np.nonzero(score == score.max(axis=1, keepdims=True))
+                yield pd.DataFrame({"a": asked_ids[i], "b": docs[j], "csls": score[i, j]})
+
+    found = blocks.mapInPandas(best, "a long, b long, csls double")
+    return found.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("csls")))).filter("r = 1").drop("r")

@@ -111,17 +111,8 @@ k AS (SELECT a, b, floor((2 * c - ra.r - rb.r) * 1e6 + 0.5) / 1e6 AS csls FROM s
 def csls_best_all(t: Tables) -> DataFrame:
     """K-21: for every 20th vector the best of the other side after both neighbourhoods' levels, each over the whole other side, are taken off."""
     e = t.embeddings.select("vec_id", F.col("embedding").alias("v"))
-    return _csls_best(e.filter("vec_id % 20 = 0"), e.filter("vec_id % 2 = 1"), e.filter("vec_id % 2 = 0"))
-
-
-def _csls_best(a: DataFrame, b: DataFrame, side_a: DataFrame) -> DataFrame:
-    """The best of b for each of a; the neighbours of b are sought in all of side_a."""
-    n = 1 << 30
-    pairs = vectors.search(a, b, "vec_id", "v", n, False).select(F.col("qid").alias("a"), F.col("doc").alias("b"), F.col("score").alias("c"), "rank")
-    ra = pairs.filter("rank <= 5").groupBy("a").agg(F.avg("c").alias("ra"))
-    rb = vectors.search(b, side_a, "vec_id", "v", 5, False).groupBy(F.col("qid").alias("b")).agg(F.avg("score").alias("rb"))
-    k = pairs.join(ra, "a").join(rb, "b").select("a", "b", round6(2 * F.col("c") - F.col("ra") - F.col("rb")).alias("csls"))
-    return k.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("csls")))).filter("r = 1").drop("r")
+    side_a = e.filter("vec_id % 2 = 0")
+    return vectors.csls(e.filter("vec_id % 20 = 0"), side_a, e.filter("vec_id % 2 = 1"), "vec_id", "v")
 
 
 @query("""

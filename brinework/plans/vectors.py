@@ -70,8 +70,7 @@ def maxsim_topk(t: Tables) -> DataFrame:
     """R-06: eight tokens of eight places each."""
     places = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(i.alias("pos"), F.slice("embedding", i * 8 + 1, 8).alias("vec")))
     tokens = t.embeddings.select(F.col("vec_id").alias("id"), F.inline(places))
-    s = vectors.maxsim(tokens.filter("id % 20 = 0"), tokens).filter("qid <> doc").withColumn("score", round6(F.col("score")))
-    return retrieval.ranked(s, k=5).withColumn("rank", F.col("rank").cast("long"))
+    return vectors.maxsim(tokens.filter("id % 20 = 0"), tokens, 5)
 
 
 @query(f"WITH {_DENSE}, {_SHORT}, f AS (SELECT qid, doc, {_R6.format('sum(w / (60 + rank))')} AS score FROM (SELECT qid, doc, rank, 1.0::DOUBLE AS w FROM dense WHERE rank <= 20 UNION ALL SELECT qid, doc, rank, 0.5::DOUBLE FROM short WHERE rank <= 20) GROUP BY ALL) SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM f QUALIFY rank <= 10")

@@ -107,3 +107,46 @@ def test_stream_windows(spark, tmp_path):
     assert [(r["n"], r["total"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(2, 3.0)]
     windows.upsert_latest(spark, windows.parts_stream(spark, str(tmp_path / "in"), events.schema), str(tmp_path / "state"), str(tmp_path / "cp2"), ["user"], "ts")
     assert [r["event_id"] for r in spark.read.parquet(str(tmp_path / "state/v0")).collect()] == [3]
+
+
+def test_intervals_against_brute_force(spark):
+    """Short, long, empty and open intervals; one key has most rows."""
+    import random
+
+    rng = random.Random(2)
+    points = [(rng.choice("aaab"), rng.randint(-50, 500), n) for n in range(150)] + [("a", None, 999)]
+    spans = [(rng.choice("aaab"), *rng.choice([(x := rng.randint(-60, 500), x + rng.choice((-3, 0, 5, 40, 300))), (None, x), (x, None), (None, None)]), n) for n in range(60)]
+    p, i = spark.createDataFrame(points, "k string, at long, p int"), spark.createDataFrame(spans, "k string, s long, e long, n int")
+    want = sorted((q, n) for k, at, q in points for c, s, e, n in spans if k == c and at is not None and (s is None or s <= at) and (e is None or at <= e))
+    assert sorted((r["p"], r["n"]) for r in joins.interval_join(p, i, "k", "at", "s", "e", 7).collect()) == want
+    assert joins.interval_join(p.limit(0), i, "k", "at", "s", "e", 7).count() == joins.interval_join(p, i.limit(0), "k", "at", "s", "e", 7).count() == 0
+
+
+def test_latest_before_of_a_hot_key(spark):
+    """Rows of one key over all buckets, with empty buckets between, ties and rows before the first."""
+    import random
+
+    rng = random.Random(3)
+    left = [(rng.choice(["a"] * 9 + ["b", "c", None]), n, rng.randint(0, 1000)) for n in range(200)]
+    right = [(rng.choice("aaaaab"), rng.choice((rng.randint(100, 200), rng.randint(700, 800), 990)), n) for n in range(60)]
+    want = sorted((n, max((t, r) for c, t, r in right if c == k and t <= at)[1]) for k, n, at in left if any(c == k and t <= at for c, t, _ in right))
+    a, b = spark.createDataFrame(left, "k string, l int, at int"), spark.createDataFrame(right, "k string, ts int, r int")
+    for buckets in (1, 4, 64):
+        assert sorted((x["l"], x["r"]) for x in joins.latest_before(a, b, "k", "at", "ts", "r", buckets).collect()) == want
+    assert joins.latest_before(a, b.limit(0), "k", "at", "ts", "r").count() == 0
+
+
+def test_labels_of_a_hub(spark):
+    pairs = spark.range(1, 4001).selectExpr("cast(0 as bigint) AS a", "id AS b")
+    found = duplicates.label_propagation(spark, pairs)
+    assert found.count() == 4001 and found.select("label").distinct().collect()[0][0] == 0
+
+
+def test_bm25_of_odd_documents(spark):
+    from brinework.operators import retrieval
+
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"] * 5000), (3, []), (4, None), (5, ["c"]), (6, ["a", "b"])], "d long, t array<string>")
+    queries = spark.createDataFrame([(1, ["a", "b", "b"]), (9, ["zz"]), (8, None), (7, [])], "qid long, terms array<string>")
+    found = rows(retrieval.bm25(docs, "d", "t", queries, 2).select("qid", "doc", "rank"))
+    assert found == [(1, 2, 2), (1, 6, 1)]
+    assert retrieval.bm25(docs.limit(0), "d", "t", queries, 2).count() == retrieval.bm25(docs, "d", "t", queries.limit(0), 2).count() == 0
