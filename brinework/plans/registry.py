@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..operators import units
-from . import corpus, graph, quality, relational, temporal, text, vectors
+from . import corpus, graph, quality, relational, storage, temporal, text, vectors
 
-MODULES = [relational, text, vectors, graph, temporal, quality, corpus, units]
+MODULES = [relational, text, vectors, graph, temporal, quality, corpus, storage, units]
 
 
 def queries() -> dict[str, Callable]:

@@ -41,7 +41,7 @@ def upsert_latest(spark: SparkSession, stream: DataFrame, out: str, checkpoint:
     """Latest state per key (ST-05): each batch is merged into a new version of the table, then the version is named.
 
     Versions are numbered by batch, so a batch that is run again writes the
-    same version.
+    same version; the one before is kept for that, older ones are deleted.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -49,6 +49,8 @@ def upsert_latest(spark: SparkSession, stream: DataFrame, out: str, checkpoint:
         if number > 0:
             rows = rows.unionByName(batch.sparkSession.read.parquet(f"{out}/v{number - 1}"))
         latest_per_key(rows, keys, time).write.mode("overwrite").parquet(f"{out}/v{number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/v{number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

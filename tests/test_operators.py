@@ -88,6 +88,13 @@ def test_store(spark, tmp_path):
     assert rows(wider) == [(1, "a", None)]
     with pytest.raises(ValueError, match="unknown"):
         s.read("things", spark.createDataFrame([], "id long").schema)
+    three = s.commit("things", df, ["id"], two)
+    assert three != one and [c["commit"] for c in s.history("things")] == [three, two, one]
+    late = store.Store(spark, str(tmp_path / "store"))
+    number = late._pointer("heads/things")[0]
+    late._point("heads/things", number, {"commit": "theirs"})
+    with pytest.raises(FileExistsError):
+        late._point("heads/things", number, {"commit": "mine"})
     df.write.parquet(str(tmp_path / "store/parts/things/stray"))
     assert s.orphans() == ["parts/things/stray"]
 
