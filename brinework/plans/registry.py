@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..operators import units
-from . import access, bibliography, corpus, graph, measures, quality, relational, storage, temporal, text, vectors
+from . import access, bibliography, checks, corpus, graph, measures, quality, relational, storage, temporal, text, vectors
 
-MODULES = [relational, text, vectors, graph, temporal, quality, corpus, storage, bibliography, measures, access, units]
+MODULES = [relational, text, vectors, graph, temporal, quality, corpus, storage, bibliography, measures, access, checks, units]
 
 
 def queries() -> dict[str, Callable]:
