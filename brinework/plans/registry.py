@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..operators import units
-from . import access, bibliography, checks, corpus, graph, measures, navigation, quality, relational, search, storage, temporal, text, vectors
+from . import access, bibliography, checks, corpus, graph, measures, mentions, navigation, quality, relational, search, storage, temporal, text, vectors
 
-MODULES = [relational, text, vectors, graph, temporal, quality, corpus, storage, bibliography, measures, access, checks, navigation, search, units]
+MODULES = [relational, text, vectors, graph, temporal, quality, corpus, storage, bibliography, measures, access, checks, navigation, search, mentions, units]
 
 
 def queries() -> dict[str, Callable]:
