@@ -17,21 +17,25 @@ pages and blocks:
   with features of their place on the page.
 
 Everything else - every page, every block, every token - is read in one pass
-without a shuffle; words known from clean pages cost one lookup.
+without a shuffle; words known from clean pages cost one lookup.  That holds
+while the words and the heads are few enough to be broadcast (WORDS_MOST,
+HEADS_MOST).  Beyond, records are cut into blocks, and each block is joined
+with what its own tokens ask of the words and heads, and with nothing else.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, replace
 from random import Random
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoint import Workspace
 from ..tables import current, hash_sample, load
 
 #: Rows the models are fitted on, about, chosen by hash over all rows.
@@ -40,6 +44,10 @@ CLEAN_PAGES, SCANNED_PAGES, BLOCKS = 5_000, 3_000, 20_000
 EDITED_WORDS, ROUNDS = 9_000, 4
 #: A form is a running head if at least so many blocks of it, and this part of them, are typed as heads or feet.
 HEAD_LEAST, HEAD_SHARE = 3, 0.2
+#: Most words and forms of heads that are collected and broadcast: about 40 MB together.
+WORDS_MOST, HEADS_MOST = 400_000, 50_000
+#: Records of a block that is joined with its words, on average.
+BLOCK_RECORDS = 1_000
 #: Part of a head's characters that may be misread.
 HEAD_NOISE = 0.25
 #: Words the joiner learns from, of each kind, chosen at random.
@@ -159,6 +167,8 @@ class Lexicon:
     long: dict[int, list[str]] = field(default_factory=dict)
     #: (seen, meant) that scans show more than once.
     mined: set[tuple[str, str]] = field(default_factory=set)
+    #: Whether gaps and long are complete as they are.
+    opened: bool = False
     #: The long word last asked for, with its common beginning and end with words of nearly its length.
     near: tuple[str, list[tuple[str, int, int]]] = ("", [])
 
@@ -171,7 +181,7 @@ class Lexicon:
                     g[c] = g.get(c, 0) + n
             elif len(w) > GAP_WORD:
                 self.long.setdefault(len(w), []).append(w)
-        self.gaps = dict(gaps)
+        self.gaps, self.opened = dict(gaps), True
         return self
 
     def readings(self, w: str, i: int, width: int, own: str = "") -> str:
@@ -294,13 +304,13 @@ def may_be_head(form: tuple[str, ...]) -> bool:
     return 2 <= len(form) <= 10 and sum(map(len, form)) >= 8 and any(c.isalpha() for w in form for c in w)
 
 
-def fit(clean: list[str], scanned: list[str], blocks: list[tuple[str, str, int, int]], seed: int = 11, words: dict[str, int] | None = None, head_forms: list[tuple[str, ...]] | None = None) -> Model:
+def fit(clean: list[str], scanned: list[str], blocks: list[tuple[str, str, int, int]], seed: int = 11, lexicon: Lexicon | None = None, head_forms: list[tuple[str, ...]] | None = None) -> Model:
     """Fits all four perceptrons.
 
     clean, scanned: texts of pages; blocks: (block_type, text, from top, from
-    bottom) of short blocks.  Any of them may be empty.  words, head_forms: the
-    words of all clean pages and the forms of all running heads; without them
-    those of the given texts and blocks.
+    bottom) of short blocks.  Any of them may be empty.  lexicon, head_forms:
+    of all clean pages and of all running heads; without them those of the
+    given texts and blocks.
     """
     random = Random(seed)
     counts: Counter[str] = Counter()
@@ -319,7 +329,7 @@ def fit(clean: list[str], scanned: list[str], blocks: list[tuple[str, str, int,
                 hanging[w[:-1], u.strip(_EDGE)] += 1
             elif "-" in w.strip("-"):
                 hyphened[w] += 1
-    lexicon = Lexicon(dict(counts) if words is None else words).open()
+    lexicon = Lexicon(dict(counts)).open() if lexicon is None else lexicon
 
     # Confusions: what scans show where clean words have something else.
     confusions: Counter[tuple[str, str]] = Counter()
@@ -437,7 +447,7 @@ class Reader:
 
     def __init__(self, model: Model):
         self.m = model
-        if not model.lexicon.gaps and not model.lexicon.long:
+        if not model.lexicon.opened:
             model.lexicon.open()
         self.by_word: dict[str, list[tuple[tuple[str, ...], int]]] = defaultdict(list)
         for form in model.heads.values():
@@ -699,8 +709,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(blocks).filter("text is not null and record_id is not null").withColumn("scanned", F.coalesce("scanned", F.lit(False)))
 
 
-def all_words(pages: DataFrame) -> dict[str, int]:
-    """Every word of the clean pages and its count; grows as the vocabulary does."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """w, n: every word of the clean pages and its count."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
@@ -713,12 +723,11 @@ def all_words(pages: DataFrame) -> dict[str, int]:
         if n:
             yield pd.DataFrame({"w": list(n.keys()), "n": list(n.values())})
 
-    counted = pages.select("normalized_text").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).toPandas()
-    return dict(sorted(zip(counted["w"], map(int, counted["n"]), strict=True)))
+    return pages.select("normalized_text").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def all_heads(blocks: DataFrame) -> list[tuple[str, ...]]:
-    """Forms of running heads among all short blocks."""
+def head_counts(blocks: DataFrame) -> DataFrame:
+    """form: those of running heads among all short blocks."""
 
     def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -727,22 +736,158 @@ def all_heads(blocks: DataFrame) -> list[tuple[str, ...]]:
                 yield pd.DataFrame(rows, columns=["form", "head"])
 
     counted = blocks.select("block_type", "normalized_text").mapInPandas(form, "form string, head boolean").groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.count_if("head").alias("h"))
-    kept = counted.filter((F.col("h") >= HEAD_LEAST) & (F.col("h") >= HEAD_SHARE * F.col("n")))
-    return [tuple(r[0].split(" ")) for r in sorted(kept.select("form").collect())]
+    return counted.filter((F.col("h") >= HEAD_LEAST) & (F.col("h") >= HEAD_SHARE * F.col("n"))).select("form")
 
 
-def fitted(spark: SparkSession, sf_dir: str) -> Model:
+#: Kinds of questions that tokens ask.
+_KNOWN, _EDIT, _HEAD = 0, 1, 2
+
+
+def _questions(text: str, scanned: bool) -> Iterator[tuple[int, str, str]]:
+    """(kind, text, key): words to look up, words to edit unless their key is known, and words that may be of a head."""
+    tokens = TOKEN.findall(text)
+    for k, raw in enumerate(tokens):
+        yield _HEAD, key_of(raw), ""
+        if not scanned:
+            continue
+        w = raw.strip(_EDGE)
+        if w:
+            key = key_of(w)
+            yield _KNOWN, key, ""
+            yield _EDIT, (w[:-1] if w[-1:] in MARKS else w).lower(), key
+        if raw[-1] in MARKS and len(raw) > 1 and k + 1 < len(tokens):
+            a, b = raw[:-1].lstrip(_EDGE), tokens[k + 1].strip(_EDGE)
+            x, y = key_of(a), key_of(b)
+            for asked in (x + y, x + "-" + y, x + "-"):
+                yield _KNOWN, asked, ""
+            for joined in (a + b, a + "-" + b):
+                yield _KNOWN, key_of(joined), ""
+                yield _EDIT, joined.lower(), key_of(joined)
+
+
+def answers(records: DataFrame, words: DataFrame, heads: DataFrame, work: Workspace, every: bool = False) -> DataFrame:
+    """block, kind, a, b, n: what the blocks' tokens ask of the words and heads: W word a with count n, G gap a filled by b, L long word a, H head a.
+
+    records: block, text, scanned.  Questions are made distinct per block
+    before they are shuffled, edits of unknown words (for fitting: of ``every``
+    word) once over all blocks.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            asked = {(block, *q) for block, text, scanned in zip(batch["block"], batch["text"], batch["scanned"], strict=True) for q in _questions(text, scanned)}
+            yield pd.DataFrame(sorted(asked), columns=["block", "kind", "text", "key"])
+
+    asked = work.cut(records.select("block", "text", "scanned").mapInPandas(ask, "block long, kind int, text string, key string").distinct(), "asked")
+    of = lambda kind: asked.filter(F.col("kind") == kind)
+    known = of(_KNOWN).select("block", F.col("text").alias("w")).join(words, "w").select("block", F.lit("W").alias("kind"), F.col("w").alias("a"), F.lit("").alias("b"), "n")
+    edited = of(_EDIT) if every else of(_EDIT).join(words.select(F.col("w").alias("key")), "key", "left_anti")
+    unknown = edited.select("block", F.col("text").alias("low"))
+    if every:
+        unknown = unknown.union(of(_KNOWN).select("block", "text"))
+    unknown = unknown.distinct()
+    unknown = work.cut(unknown, "unknown")
+    low = unknown.select("low").distinct()
+    size = F.length("low")
+    gap = lambda c, i, width: F.concat(F.substring(c, F.lit(1), i), F.lit("\0"), F.substring(c, i + width + 1, F.length(c)))
+    gaps_of = lambda c, at, width: F.transform(at, lambda i: gap(c, i, width))
+    places = F.sequence(F.lit(0), size)
+    keys = F.array_distinct(F.flatten(F.array(*(gaps_of("low", places, width) for width in (0, 1, 2)))))
+    open_gaps = low.filter(size.between(1, GAP_WORD + 1)).select("low", F.explode(keys).alias("g"))
+    short = words.filter(F.length("w").between(3, GAP_WORD))
+    filled = short.select("n", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("w") - 1), lambda i: F.struct(gap("w", i, 1).alias("g"), F.substring("w", i + 1, F.lit(1)).alias("c")))).alias("i", "x")).select(F.col("x.g").alias("g"), F.col("x.c").alias("c"), "n")
+    read = open_gaps.join(filled, "g").select("low", F.lit("G").alias("kind"), F.col("g").alias("a"), F.col("c").alias("b"), "n")
+    # Words an edit apart share their first or their last half.
+    half = GAP_WORD // 2 - 1
+    ends = lambda df, c: df.select("*", F.explode(F.array(F.concat(F.lit("^"), F.left(F.col(c), F.lit(half))), F.concat(F.lit("$"), F.right(F.col(c), F.lit(half))))).alias("end"))
+    long = ends(low.filter(size >= GAP_WORD), "low").join(ends(words.filter(F.length("w") > GAP_WORD), "w"), "end").filter(F.abs(F.length("w") - size) <= 1)
+    read = read.unionByName(long.select("low", F.lit("L").alias("kind"), F.col("w").alias("a"), F.lit("").alias("b"), "n").distinct())
+    edits = unknown.join(read, "low").drop("low").distinct()
+    # Half of a head's longer words must be in a record: then one of its rarest (half and one more) is.
+    form = heads.select("form", F.explode(F.array_distinct(F.filter(F.split("form", " "), lambda w: F.length(w) > 2))).alias("w"))
+    rated = form.join(form.groupBy("w").agg(F.count(F.lit(1)).alias("forms")), "w")
+    rare = rated.select("form", "w", F.row_number().over(Window.partitionBy("form").orderBy("forms", "w")).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("form")).alias("m")).filter("r <= floor(m / 2) + 1")
+    met = of(_HEAD).select("block", F.col("text").alias("w")).join(rare.select("w", "form"), "w").select("block", F.lit("H").alias("kind"), F.col("form").alias("a"), F.lit("").alias("b"), F.lit(0).cast("long").alias("n")).distinct()
+    return known.distinct().unionByName(edits).unionByName(met)
+
+
+def told(facts: pd.DataFrame, mined: set[tuple[str, str]]) -> tuple[Lexicon, list[tuple[str, ...]]]:
+    """The lexicon and heads of answers."""
+    lexicon = Lexicon({}, mined=mined, opened=True)
+    heads = []
+    for kind, a, b, n in zip(facts["kind"], facts["a"], facts["b"], facts["n"], strict=True):
+        if kind == "W":
+            lexicon.words[a] = int(n)
+        elif kind == "G":
+            lexicon.gaps.setdefault(a, {})[b] = int(n)
+        elif kind == "L":
+            lexicon.words[a] = int(n)
+            lexicon.long.setdefault(len(a), []).append(a)
+        else:
+            heads.append(tuple(a.split(" ")))
+    return lexicon, sorted(set(heads))
+
+
+@dataclass
+class Fitted:
+    """A fitted model; words and heads beside it where they are too many to be in it."""
+
+    model: Model
+    words: DataFrame | None = None
+    heads: DataFrame | None = None
+
+
+def fitted(spark: SparkSession, sf_dir: str, work: Workspace) -> Fitted:
     """The model of a corpus: perceptrons fitted on the documented samples, words and heads of all pages and blocks."""
     pages = load(spark, sf_dir, "pages").filter("normalized_text is not null").select("page_id", "normalized_text", F.coalesce(F.col("primary_text_layer").contains("OCR"), F.lit(False)).alias("scanned"))
-    clean = [r[0] for r in hash_sample(pages.filter("not scanned"), ["page_id"], CLEAN_PAGES).select("normalized_text").collect()]
-    scanned = [r[0] for r in hash_sample(pages.filter("scanned"), ["page_id"], SCANNED_PAGES).select("normalized_text").collect()]
+    clean = sorted(r[0] for r in hash_sample(pages.filter("not scanned"), ["page_id"], CLEAN_PAGES).select("normalized_text").collect())
+    scanned = sorted(r[0] for r in hash_sample(pages.filter("scanned"), ["page_id"], SCANNED_PAGES).select("normalized_text").collect())
     blocks = load(spark, sf_dir, "blocks").select("block_type", "normalized_text", "reading_order", "object_id", "page_id").filter("length(normalized_text) < 90")
     rows = hash_sample(blocks, ["page_id"], BLOCKS).select("block_type", "normalized_text", F.coalesce("reading_order", F.lit(0)), "page_id").collect()
     rows.sort(key=lambda r: (r[3] or "", r[2], r[1], r[0] or ""))
     last: dict[str, int] = {}
     for r in rows:
         last[r[3]] = max(last.get(r[3], 0), r[2])
-    return fit(sorted(clean), sorted(scanned), [(r[0] or "", r[1], r[2], last[r[3]] - r[2]) for r in rows], words=all_words(pages.filter("not scanned")), head_forms=all_heads(blocks))
+    short = [(r[0] or "", r[1], r[2], last[r[3]] - r[2]) for r in rows]
+    words, heads = work.cut(word_counts(pages.filter("not scanned")), "words"), work.cut(head_counts(blocks), "heads")
+    if words.count() <= WORDS_MOST and heads.count() <= HEADS_MOST:
+        counted = words.toPandas()
+        lexicon = Lexicon(dict(sorted(zip(counted["w"], map(int, counted["n"]), strict=True)))).open()
+        forms = [tuple(r[0].split(" ")) for r in sorted(heads.collect())]
+        return Fitted(fit(clean, scanned, short, lexicon=lexicon, head_forms=forms))
+    # What the samples ask, as one block; bounded as they are.
+    sample = [(0, t, True) for t in clean + scanned] + [(0, t, False) for _, t, _, _ in short]
+    facts = answers(spark.createDataFrame(sample, "block long, text string, scanned boolean"), words, heads, Workspace(spark, "noise-sample"), every=True).toPandas()
+    lexicon, forms = told(facts, set())
+    return Fitted(fit(clean, scanned, short, lexicon=lexicon, head_forms=forms), words, heads)
+
+
+def _read_all(spark: SparkSession, sf_dir: str, read: Callable[[Reader, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``read`` over all records, with a reader that knows all words and heads their tokens ask for."""
+    work = Workspace(spark, "noise")
+    fit_ = fitted(spark, sf_dir, work)
+    rows = records(spark, sf_dir)
+    if fit_.words is None:
+        model = spark.sparkContext.broadcast(fit_.model)
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            reader = _reader(model)
+            for batch in batches:
+                yield read(reader, batch)
+
+        return rows.mapInPandas(whole, schema)
+    m = fit_.model
+    bare = spark.sparkContext.broadcast(replace(m, lexicon=Lexicon({}, mined=m.lexicon.mined, opened=True), heads={}))
+    blocks = max(1, rows.count() // BLOCK_RECORDS)
+    rows = work.cut(rows.withColumn("block", F.pmod(F.xxhash64("record_id", "text"), F.lit(blocks))), "records")
+    facts = answers(rows, fit_.words, fit_.heads, work)
+
+    def by_block(batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        model = bare.value
+        lexicon, heads = told(known, model.lexicon.mined)
+        return read(Reader(replace(model, lexicon=lexicon, heads={" ".join(f): f for f in heads})), batch)
+
+    return rows.groupBy("block").cogroup(facts.groupBy("block")).applyInPandas(by_block, schema)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -750,27 +895,21 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null texts and texts without a token give no rows.
     """
-    model = spark.sparkContext.broadcast(fitted(spark, sf_dir))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _reader(model)
-        for batch in batches:
-            rows = [(r, kind, n) for r, t, s, w in zip(batch["record_id"], batch["text"], batch["scanned"], batch["whole_page"], strict=True) for kind, n in reader.findings(t, s, w)]
-            yield pd.DataFrame(rows, columns=["record_id", "kind", "token_no"])
+    def read(reader: Reader, batch: pd.DataFrame) -> pd.DataFrame:
+        rows = [(r, kind, n) for r, t, s, w in zip(batch["record_id"], batch["text"], batch["scanned"], batch["whole_page"], strict=True) for kind, n in reader.findings(t, s, w)]
+        return pd.DataFrame(rows, columns=["record_id", "kind", "token_no"])
 
-    return records(spark, sf_dir).mapInPandas(read, "record_id string, kind string, token_no long").distinct()
+    return _read_all(spark, sf_dir, read, "record_id string, kind string, token_no long").distinct()
 
 
 def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, text: every record as continuous paragraphs."""
-    model = spark.sparkContext.broadcast(fitted(spark, sf_dir))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _reader(model)
-        for batch in batches:
-            yield pd.DataFrame({"record_id": batch["record_id"], "text": [reader.repaired(t, s, w) for t, s, w in zip(batch["text"], batch["scanned"], batch["whole_page"], strict=True)]})
+    def read(reader: Reader, batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"record_id": batch["record_id"], "text": [reader.repaired(t, s, w) for t, s, w in zip(batch["text"], batch["scanned"], batch["whole_page"], strict=True)]})
 
-    return records(spark, sf_dir).mapInPandas(read, "record_id string, text string")
+    return _read_all(spark, sf_dir, read, "record_id string, text string")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ def test_words_and_heads_outside_the_samples(spark, tables, monkeypatch):
         monkeypatch.setattr(Z, name, 1)
     pages = [{"page_id": f"p{i}", "normalized_text": f"слово{chr(1072 + i)} порода", "primary_text_layer": "TEXT"} for i in range(30)]
     blocks = [{"object_id": f"b{i}", "page_id": f"p{i}", "block_type": "PAGE_HEADER", "normalized_text": f"Глава соляная {chr(1072 + i // 3)}"} for i in range(30)]
-    model = Z.fitted(spark, tables(pages=pages, blocks=blocks))
+    model = Z.fitted(spark, tables(pages=pages, blocks=blocks), Z.Workspace(spark, "test")).model
     assert model.lexicon.words == {"порода": 30} | {f"слово{chr(1072 + i)}": 1 for i in range(30)}
     assert set(model.heads) == {f"глава соляная {chr(1072 + i)}" for i in range(10)}
 
@@ -181,3 +181,34 @@ def test_long_words():
 
 def test_roman():
     assert [Z.roman(w) for w in ("iv", "xii", "mcmxciv", "iiii", "vx", "", "abc", "ic", "mmmm")] == [4, 12, 1994, 0, 0, 0, 0, 0, 0]
+
+
+def test_too_many_words_to_broadcast(spark, sf_dir, monkeypatch):
+    """Joined with what each block asks, records give what they give with all words at hand."""
+    broadcast = {tuple(r) for r in Z.found(spark, sf_dir).collect()}
+    texts = {tuple(r) for r in Z.repaired(spark, sf_dir).collect()}
+    monkeypatch.setattr(Z, "WORDS_MOST", 10)
+    monkeypatch.setattr(Z, "BLOCK_RECORDS", 50)
+    joined = {tuple(r) for r in Z.found(spark, sf_dir).collect()}
+    assert len(broadcast) > 100 and len(joined ^ broadcast) <= 0.01 * len(broadcast)
+    changed = texts ^ {tuple(r) for r in Z.repaired(spark, sf_dir).collect()}
+    assert len(changed) <= 0.02 * len(texts)
+
+
+def test_answers_are_what_a_reader_asks(spark):
+    """With answers for its block a reader reads as with the whole lexicon, by the same perceptrons."""
+    rng = random.Random(77)
+    m = model()
+    words = spark.createDataFrame(list(m.lexicon.words.items()) + [("ы" * 60 + "ъ", 4)], "w string, n long")
+    heads = spark.createDataFrame([(h,) for h in m.heads], "form string")
+    m.lexicon.words["ы" * 60 + "ъ"] = 4
+    m.lexicon.open()
+    texts = [spoilt(" ".join(sentence(rng) for _ in range(4)), rng, KINDS) + " Геом*ханика соляных рудников 13 " + "ы" * 30 + "ж" + "ы" * 29 + "ъ" for _ in range(20)]
+    df = spark.createDataFrame([(i % 3, t, True) for i, t in enumerate(texts)], "block long, text string, scanned boolean")
+    facts = Z.answers(df, words, heads, Z.Workspace(spark, "test-answers")).toPandas()
+    for i, t in enumerate(texts):
+        lexicon, forms = Z.told(facts[facts["block"] == i % 3], m.lexicon.mined)
+        local = Z.Reader(Z.replace(m, lexicon=lexicon, heads={" ".join(f): f for f in forms}))
+        whole = Z.Reader(m)
+        assert local.findings(t, True, True) == whole.findings(t, True, True)
+        assert local.repaired(t, True, True) == whole.repaired(t, True, True)
