@@ -116,8 +116,29 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
 
 
-def p7_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of a mix as large as the texts of the target sources: small ones end at their cap."""
+def _full(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A mix as large as the texts of the target sources: small ones end at their cap, the others fill up."""
     docs, targets = load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets")
     total = sized_documents(spark, docs, DEFAULT).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").agg(F.sum("tokens")).first()[0]
-    return mix(spark, docs, targets, int(total or 0))[1]
+    return mix(spark, docs, targets, int(total or 0))
+
+
+def p7_mix_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a mix as large as the texts of the target sources."""
+    return _full(spark, sf_dir)[0]
+
+
+def p7_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _full(spark, sf_dir)[1]
+
+
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of both mixes, per source: whether no text is used too often, and whether the tokens used miss the budget by one text at most."""
+    out = None
+    longest = sized_documents(spark, load(spark, sf_dir, "documents"), DEFAULT).groupBy("source").agg(F.max("tokens").alias("longest"))
+    for name, (uses, report) in (("largest", mix(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))), ("full", _full(spark, sf_dir))):
+        most = uses.groupBy("source").agg(F.max("copies").alias("copies"))
+        rows = report.join(most, "source", "left").join(longest, "source", "left").select(F.lit(name).alias("mix"), "source", (F.coalesce("copies", F.lit(0)) <= F.col("repeats")).alias("within_cap"), F.abs(F.col("used") - F.col("budget")).alias("missed"), F.coalesce("longest", F.lit(0)).alias("longest"))
+        rows = rows.withColumn("within_one_text", (F.col("missed") <= F.col("longest")))
+        out = rows if out is None else out.unionByName(rows)
+    return out

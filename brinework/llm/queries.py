@@ -18,6 +18,8 @@ def queries() -> dict:
         "p7_mix": mixing.p7_mix,
         "p7_shares": mixing.p7_shares,
         "p7_shares_full": mixing.p7_shares_full,
+        "p7_mix_full": mixing.p7_mix_full,
+        "p7_invariants": mixing.p7_invariants,
         "p8_found": truncation.p8_found,
         "p8_shares": truncation.p8_shares,
     }

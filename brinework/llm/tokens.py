@@ -14,6 +14,7 @@ An empty text and a null text both have the empty list of ids.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -95,10 +96,26 @@ class PrefixTable:
         return self
 
     def edit(self, at: int, gone: int, new: bytes) -> PrefixTable:
-        """Replaces ``gone`` bytes at ``at``; the table of the bytes before stays."""
-        rest = self.text[at + gone :]
-        self.text, self.last = self.text[:at], self.last[: at + 1]
-        return self.append(new + rest)
+        """Replaces ``gone`` bytes at ``at``; the table of the bytes before stays, and so does that of those behind from where it agrees.
+
+        A prefix's last token depends on no more bytes, and last tokens, than
+        the longest token has before it: once as many in a row are what they
+        were, all others are.
+        """
+        text, last, window = self.text, self.last, self.vocabulary.longest + 1
+        shift = len(new) - gone
+        self.text, self.last = text[:at], last[: at + 1]
+        self.append(new)
+        agreed, end = 0, at + gone
+        while end < len(text) and agreed < window:
+            upto = min(len(text), end + window)
+            self.append(text[end:upto])
+            for k in range(end + 1, upto + 1):
+                agreed = agreed + 1 if self.last[k + shift] == last[k] else 0
+            end = upto
+        self.text += text[end:]
+        self.last += last[end + 1 :]
+        return self
 
     def ids(self) -> list[int]:
         out, end = [], len(self.text)
@@ -189,14 +206,15 @@ class Document:
         return len(fresh)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[bytes, Encoder] = {}
 
 
-def _encoder(name: str, ranks: bytes) -> Encoder:
-    """The worker's encoder of a vocabulary; it is kept from task to task."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder({base64.b64decode(t): int(r) for t, r in (line.split() for line in ranks.splitlines() if line.strip())})
-    return _ENCODERS[name]
+def _encoder(ranks: bytes) -> Encoder:
+    """The worker's encoder of a vocabulary file; it is kept from task to task, by the file's digest."""
+    key = hashlib.blake2b(ranks, digest_size=16).digest()
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder({base64.b64decode(t): int(r) for t, r in (line.split() for line in ranks.splitlines() if line.strip())})
+    return _ENCODERS[key]
 
 
 def _shipped(spark: SparkSession, name: str, folder: str):
@@ -211,7 +229,7 @@ def token_ids(spark: SparkSession, text: Column, name: str = DEFAULT, folder: st
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(name, ranks.value)
+        encoder = _encoder(ranks.value)
         for texts in batches:
             yield pd.Series([encoder.encode(t) for t in texts], dtype=object)
 
@@ -224,7 +242,7 @@ def token_count(spark: SparkSession, text: Column, name: str = DEFAULT, folder:
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(name, ranks.value)
+        encoder = _encoder(ranks.value)
         for texts in batches:
             yield pd.Series([encoder.count(t) for t in texts], dtype="int32")
 

@@ -48,3 +48,8 @@ def test_nulls_and_repeats_in_targets(spark):
     uses, report = M.mix(spark, docs, targets)
     assert report.count() == 3 and uses.agg(F.sum(F.col("copies"))).first()[0] == 40
     assert M.mix(spark, docs.limit(0), targets)[0].count() == 0 and M.mix(spark, docs, targets.limit(0))[0].count() == 0
+
+
+def test_invariants(spark, sf_dir):
+    rows = M.p7_invariants(spark, sf_dir).collect()
+    assert rows and all(r["within_cap"] and r["within_one_text"] for r in rows)

@@ -40,6 +40,26 @@ def test_prefix_table(raw, more):
     assert table.edit(len(raw) // 2, 1, b"x").ids() == ENCODER.vocabulary.merge(table.text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([b"the ", b"salt", b"mine", b"s", b" ", b"aaaa", b"\xd0\xb0"]), max_size=60), st.integers(0, 100), st.integers(0, 12), st.binary(max_size=6))
+def test_edits_of_long_tables(parts, at, gone, new):
+    raw = b"".join(parts)
+    at = min(at, len(raw))
+    table = K.PrefixTable(ENCODER.vocabulary, raw).edit(at, gone, new)
+    want = K.PrefixTable(ENCODER.vocabulary, raw[:at] + new + raw[at + gone :])
+    assert table.text == want.text and table.last == want.last
+
+
+def test_edit_of_a_table_stops_early():
+    raw = b"salt mine " * 3000
+    table = K.PrefixTable(ENCODER.vocabulary, raw)
+    seen = []
+    append = table.append
+    table.append = lambda more: (seen.append(len(more)), append(more))[1]
+    table.edit(1000, 3, b"xyz")
+    assert sum(seen) < 5 * ENCODER.vocabulary.longest and table.last == K.PrefixTable(ENCODER.vocabulary, table.text).last
+
+
 def test_edit_encodes_little():
     doc = K.Document(ENCODER, "слово " * 5000)
     assert doc.edit(12000, 3, "иное") < 8
