@@ -61,13 +61,9 @@ def candidates(rows: DataFrame, fields: list[str]) -> DataFrame:
     # Times as a number, null before all, so that one ordering serves max and ties.
     at = F.coalesce(F.unix_micros(F.col("recency").cast("timestamp")), F.lit(-(2**62)))
     long = long.withColumn("at", at)
-    newest = long.groupBy("group_id", "field_name", "mark", "trust").agg(F.max("at").alias("at"))
-    return (
-        long.groupBy("group_id", "field_name", "mark", "trust", "at")
-        .agg(F.min(F.struct("record_id", "value")).alias("row"))
-        .join(newest, ["group_id", "field_name", "mark", "trust", "at"], "left_semi")
-        .select("group_id", "field_name", "mark", "trust", "at", "row.record_id", "row.value")
-    )
+    # The latest row and of these the one of the least id: one ordering, so one aggregation, reduced before its shuffle.
+    row = F.min(F.struct((-F.col("at")).alias("age"), "record_id", "value")).alias("row")
+    return long.groupBy("group_id", "field_name", "mark", "trust").agg(row).select("group_id", "field_name", "mark", "trust", (-F.col("row.age")).alias("at"), "row.record_id", "row.value")
 
 
 def skyline_winners(cands: DataFrame) -> DataFrame:
