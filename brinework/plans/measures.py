@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import dyadic, from_dyadic, round6
+from ..tables import current
 from .catalog import Catalog, Tables
 from .vectors import _DENSE, _SHORT, _dense, _short
 
@@ -111,3 +112,58 @@ def sparse_topk(t: Tables) -> DataFrame:
     s = q.join(d, "i").filter("qid <> doc").groupBy("qid", "doc").agg(from_dyadic(F.sum(dyadic(F.col("x") * F.col("y")))).alias("s"))
     r = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "doc")).cast("long")).filter("rank <= 10")
     return r.select("qid", "doc", round6(F.col("s")).alias("score"), "rank")
+
+
+@query("""
+WITH e AS (SELECT event_type AS g, event_id % 50 AS case_id, value FROM events), o AS (SELECT g, case_id, max(value) AS seen FROM e GROUP BY ALL), m AS (SELECT g, case_id, value FROM e),
+a AS (SELECT g, case_id, sum(round(abs(value - seen) * 16777216)::BIGINT) / 16777216 / count(*) AS off FROM m JOIN o USING (g, case_id) GROUP BY ALL),
+r AS (SELECT g, case_id, value, row_number() OVER (PARTITION BY g, case_id ORDER BY value) AS i, count(*) OVER (PARTITION BY g, case_id) AS n FROM m), b AS (SELECT g, case_id, sum(round((2 * i - n - 1) * value * 16777216)::BIGINT) / 16777216 / (any_value(n) * any_value(n)) AS spread FROM r GROUP BY ALL)
+SELECT g AS event_type, floor(avg(off - spread) * 1e4 + 0.5) / 1e4 AS crps FROM a JOIN b USING (g, case_id) GROUP BY 1""")
+def crps_ensemble(t: Tables) -> DataFrame:
+    """F-10: the score of ensembles, by ranks: mean distance to what was seen less half the mean distance of members, without pairs of members."""
+    m = t.events.select(F.col("event_type").alias("g"), (F.col("event_id") % 50).alias("case_id"), "value")
+    key = ["g", "case_id"]
+    o = m.groupBy(*key).agg(F.max("value").alias("seen"), F.count(F.lit(1)).alias("n"))
+    i = F.row_number().over(Window.partitionBy(*key).orderBy("value"))
+    j = m.withColumn("i", i).join(o, key)
+    s = j.groupBy(*key, "n").agg((from_dyadic(F.sum(dyadic(F.abs(F.col("value") - F.col("seen"))))) / F.col("n")).alias("off"), (from_dyadic(F.sum(dyadic((2 * F.col("i") - F.col("n") - 1) * F.col("value")))) / (F.col("n") * F.col("n"))).alias("spread"))
+    return s.groupBy(F.col("g").alias("event_type")).agg((F.floor(F.avg(F.col("off") - F.col("spread")) * 1e4 + 0.5) / 1e4).alias("crps"))
+
+
+@query("""
+WITH x AS (SELECT l_returnflag AS flag, l_linestatus AS state, l_discount * 100 - l_tax * 100 AS off FROM lineitem), s AS (SELECT flag, state, count(*) AS n, floor(sum(round(abs(off) * 1048576)::BIGINT) / 1048576.0 / count(*) * 1e4 + 0.5) / 1e4 AS mae, floor(sum(round(off * 1048576)::BIGINT) / 1048576.0 / count(*) * 1e4 + 0.5) / 1e4 AS bias FROM x GROUP BY ALL)
+SELECT flag, state, n, mae, bias, n >= 30 AND mae <= 3.5 AND abs(bias) <= 1.5 AS qualified FROM s""")
+def qualification_gates(t: Tables) -> DataFrame:
+    """F-12: error and bias per stratum; a stratum qualifies if it is large enough and both are within their gates."""
+    off = F.col("l_discount") * 100 - F.col("l_tax") * 100
+    n = F.count(F.lit(1))
+    mean = lambda c: F.floor(F.sum(F.round(c * 1048576.0).cast("long")) / F.lit(1048576.0) / n * 1e4 + 0.5) / F.lit(1e4)
+    s = t.lineitem.select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("state"), off.alias("off")).groupBy("flag", "state").agg(n.alias("n"), mean(F.abs("off")).alias("mae"), mean(F.col("off")).alias("bias"))
+    return s.withColumn("qualified", (F.col("n") >= 30) & (F.col("mae") <= 3.5) & (F.abs("bias") <= 1.5))
+
+
+@query("""
+WITH p AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101)::DOUBLE AS x, (s_suppkey * 61 % 89)::DOUBLE AS y FROM supplier), g AS (SELECT id, x, y, floor(x / 25) AS i, floor(y / 25) AS j, x / 25 - floor(x / 25) AS u, y / 25 - floor(y / 25) AS v FROM p),
+h AS (SELECT *, (i * 7 + j * 3) % 11 AS a, ((i + 1) * 7 + j * 3) % 11 AS b, (i * 7 + (j + 1) * 3) % 11 AS c, ((i + 1) * 7 + (j + 1) * 3) % 11 AS d FROM g)
+SELECT id, floor((CASE WHEN u + v <= 1 THEN a + u * (b - a) + v * (c - a) ELSE d + (1 - u) * (c - d) + (1 - v) * (b - d) END) * 1e6 + 0.5) / 1e6 AS height FROM h""")
+def triangle_samples(t: Tables) -> DataFrame:
+    """F-16: heights of points inside the triangles of a net, by barycentric weights; each point finds its triangle by arithmetic."""
+    k = F.col("s_suppkey")
+    p = t.supplier.select(k.alias("id"), (k * 37 % 101).cast("double").alias("x"), (k * 61 % 89).cast("double").alias("y"))
+    g = p.select("id", F.floor(F.col("x") / 25).alias("i"), F.floor(F.col("y") / 25).alias("j"), (F.col("x") / 25 - F.floor(F.col("x") / 25)).alias("u"), (F.col("y") / 25 - F.floor(F.col("y") / 25)).alias("v"))
+    at = lambda di, dj: ((F.col("i") + di) * 7 + (F.col("j") + dj) * 3) % 11
+    a, b, c, d = at(0, 0), at(1, 0), at(0, 1), at(1, 1)
+    u, v = F.col("u"), F.col("v")
+    return g.select("id", round6(F.when(u + v <= 1, a + u * (b - a) + v * (c - a)).otherwise(d + (1 - u) * (c - d) + (1 - v) * (b - d))).alias("height"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, normalized_text AS t FROM (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY created_at DESC NULLS LAST) = 1)), f AS (SELECT page_id, coalesce(length(t), 0) AS n, length(regexp_replace(coalesce(t, ''), '[^0-9]', '', 'g')) AS digits, length(regexp_replace(coalesce(t, ''), '[^\p{L}]', '', 'g')) AS letters, len(regexp_extract_all(coalesce(t, ''), '\[[0-9]+\]')) AS refs FROM p)
+SELECT page_id, CASE WHEN n = 0 THEN 'EMPTY' WHEN n < 40 THEN 'TITLE' WHEN letters * 2 < n THEN 'NOISE' WHEN digits * 5 > n THEN 'TABLE' WHEN refs >= 8 THEN 'REFERENCES' ELSE 'TEXT' END AS class FROM f""")
+def page_classes(t: Tables) -> DataFrame:
+    """X-24: pages by thresholds on lengths and shares, the first rule that holds."""
+    p = current(t.spark, t.sf_dir, "pages", ["normalized_text"]).select("page_id", F.coalesce("normalized_text", F.lit("")).alias("t"))
+    only = lambda chars: F.length(F.regexp_replace("t", chars, ""))
+    n, refs = F.length("t"), F.size(F.regexp_extract_all("t", F.lit(r"\[[0-9]+\]"), F.lit(0)))
+    kind = F.when(n == 0, "EMPTY").when(n < 40, "TITLE").when(only(r"[^\p{L}]") * 2 < n, "NOISE").when(only("[^0-9]") * 5 > n, "TABLE").when(refs >= 8, "REFERENCES").otherwise("TEXT")
+    return p.select("page_id", kind.alias("class"))
