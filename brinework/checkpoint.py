@@ -8,12 +8,16 @@ of earlier rounds, and the columnar files keep statistics for later plans.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
+#: Folders of all workspaces of this process.
+_ROOTS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
     if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="brinework-"))
+        own = tempfile.mkdtemp(prefix="brinework-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN_DIR.append("file://" + own)
     return _OWN_DIR[0]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables of every workspace of this process and gives their number.
+
+    For between jobs: results that were returned and not yet written read them.
+    """
+    done = len(_ROOTS)
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+    return done
+
+
 class Workspace:
     """Written intermediate tables of one operator call.
 
@@ -42,6 +64,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -49,5 +72,4 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.root}/{name}")
