@@ -211,13 +211,17 @@ def look_of(w: str, cased: str) -> tuple[str, str]:
     return "L" if scripts["L"] >= scripts["C"] else "C", shape
 
 
-def char_features(w: str, i: int, lexicon: Lexicon, own: str = "", look: tuple[str, str] = ("C", "n")) -> list[str]:
+def place_readings(w: str, i: int, lexicon: Lexicon, own: str = "") -> tuple[str, str, str]:
+    """What clean words have for one character, for two, and for one lost before it."""
+    return lexicon.readings(w, i, 1, own), lexicon.readings(w, i, 2, own) if i + 1 < len(w) else "", lexicon.readings(w, i, 0, own)
+
+
+def char_features(w: str, i: int, lexicon: Lexicon, own: str = "", look: tuple[str, str] = ("C", "n"), read: tuple[str, str, str] | None = None) -> list[str]:
     """What the editor sees at a character; ``own`` is the word itself where the lexicon has it (in fitting)."""
     a, b, c = w[i - 2] if i > 1 else "^", w[i - 1] if i else "^", w[i]
     d, e = (w[i + 1 : i + 3] + "$$")[:2]
     main, shape = look
-    one, two = lexicon.readings(w, i, 1, own), lexicon.readings(w, i, 2, own) if i + 1 < len(w) else ""
-    lost = lexicon.readings(w, i, 0, own)
+    one, two, lost = read or place_readings(w, i, lexicon, own)
     if one == c:
         one = ""
     return [
@@ -508,10 +512,12 @@ class Reader:
         for i, c in enumerate("" if roman(word) else low):
             if c == "\ufffd":
                 found.append((i, "REPLACE"))
-            elif plain_name and not any(lexicon.readings(low, i, width) for width in (1, 2, 0)):
-                continue
-            elif c.isalnum() and (operation := self.m.editor.best(char_features(low, i, lexicon, look=look))) != "KEEP":
-                found.append((i, operation))
+            elif c.isalnum():
+                read = place_readings(low, i, lexicon)
+                if plain_name and not any(read):
+                    continue
+                if (operation := self.m.editor.best(char_features(low, i, lexicon, look=look, read=read))) != "KEEP":
+                    found.append((i, operation))
         if len(word) <= GAP_WORD:
             if len(self.edited) > 400_000:
                 self.edited.clear()
