@@ -119,7 +119,7 @@ WITH e AS (SELECT event_type AS g, event_id % 50 AS case_id, value FROM events),
 a AS (SELECT g, case_id, sum(round(abs(value - seen) * 16777216)::BIGINT) / 16777216 / count(*) AS off FROM m JOIN o USING (g, case_id) GROUP BY ALL),
 r AS (SELECT g, case_id, value, row_number() OVER (PARTITION BY g, case_id ORDER BY value) AS i, count(*) OVER (PARTITION BY g, case_id) AS n FROM m), b AS (SELECT g, case_id, sum(round((2 * i - n - 1) * value * 16777216)::BIGINT) / 16777216 / (any_value(n) * any_value(n)) AS spread FROM r GROUP BY ALL)
 SELECT g AS event_type, floor(avg(off - spread) * 1e4 + 0.5) / 1e4 AS crps FROM a JOIN b USING (g, case_id) GROUP BY 1""")
-def crps_ensemble(t: Tables) -> DataFrame:
+def crps_by_ranks(t: Tables) -> DataFrame:
     """F-10: the score of ensembles, by ranks: mean distance to what was seen less half the mean distance of members, without pairs of members."""
     m = t.events.select(F.col("event_type").alias("g"), (F.col("event_id") % 50).alias("case_id"), "value")
     key = ["g", "case_id"]

@@ -11,7 +11,10 @@ MODULES = [relational, text, vectors, graph, temporal, quality, corpus, storage,
 
 
 def queries() -> dict[str, Callable]:
-    return {name: run for m in MODULES for name, run in m.QUERIES.items()}
+    found = {name: run for m in MODULES for name, run in m.QUERIES.items()}
+    if len(found) < sum(len(m.QUERIES) for m in MODULES):
+        raise ValueError("two queries have one name")
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
