@@ -106,6 +106,33 @@ def mutual_best(scored: DataFrame, a: str, b: str, score: str) -> DataFrame:
     return scored.withColumn("__ra", F.rank().over(best_a)).filter("__ra = 1").drop("__ra").join(scored.withColumn("__rb", F.rank().over(best_b)).filter("__rb = 1").select(a, b), [a, b])
 
 
+def _greatest_sums(asking: DataFrame, others: DataFrame, group: str, own: str, other: str, modulus: int) -> DataFrame:
+    """group, own, other, score: of each remainder the other one of its group with which the sum modulo ``modulus`` is greatest.
+
+    That is the greatest one that doesn't carry the sum over the modulus, else
+    the greatest of all.  A group has at most ``modulus`` remainders.
+    """
+    asked = asking.select(group, own).dropna().distinct().withColumn("__at", modulus - 1 - F.col(own))
+    both = asked.unionByName(others.select(group, other, F.col(other).alias("__at")).dropna().distinct(), allowMissingColumns=True)
+    below = Window.partitionBy(group).orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    best = both.withColumn("__o", F.coalesce(F.max(other).over(below), F.max(other).over(Window.partitionBy(group)))).filter(F.col(own).isNotNull() & F.col("__o").isNotNull())
+    return best.select(group, own, F.col("__o").alias(other), ((F.col(own) + F.col("__o")) % modulus).alias("__score"))
+
+
+def mutual_best_sums(left: DataFrame, right: DataFrame, a: str, b: str, group: str, own: str, other: str, modulus: int, score: str) -> DataFrame:
+    """Pairs of one group that are the best of both sides, ties kept (J-21), where the score is (own + other) % modulus.
+
+    left: a, group, own; right: b, group, other; own and other are remainders.
+    Given one of them, another remainder is another score, so rows of equal
+    remainders tie and the best pairs are found among remainders.
+    """
+    of_a = Window.partitionBy(a).orderBy(F.desc("__score"))
+    of_b = Window.partitionBy(b).orderBy(F.desc("__score"))
+    best_a = left.join(_greatest_sums(left, right, group, own, other, modulus), [group, own]).withColumn("__r", F.rank().over(of_a)).filter("__r = 1").drop("__r")
+    best_b = right.join(_greatest_sums(right, left, group, other, own, modulus), [group, other]).withColumn("__r", F.rank().over(of_b)).filter("__r = 1").drop("__r", "__score")
+    return best_a.join(best_b, [group, own, other]).select(a, b, F.col("__score").alias(score))
+
+
 def hamming_pairs(codes: DataFrame, key: str, code: str, limit: int) -> DataFrame:
     """Pairs a < b of 64-bit codes that differ in at most ``limit`` bits (J-18).
 
