@@ -149,11 +149,17 @@ def hamming_pairs(codes: DataFrame, key: str, code: str, limit: int) -> DataFram
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str, right_text: str, block: str, least: float) -> DataFrame:
-    """Pairs of one block whose edit-distance ratio reaches ``least`` (J-07); lengths must allow it."""
+    """Pairs of one block whose edit-distance ratio reaches ``least`` (J-07); lengths must allow it.
+
+    Distances are taken between distinct texts of a block; the rows that have
+    them are told afterwards.
+    """
     a = left.select(F.col(left_id).alias("a"), F.col(left_text).alias("x"), block)
     b = right.select(F.col(right_id).alias("b"), F.col(right_text).alias("y"), block)
-    longer = F.greatest(F.length("x"), F.length("y"))
-    near = F.abs(F.length("x") - F.length("y")) <= longer * (1 - least)
+    xs, ys = (side.select(block, c, F.length(c).alias(n)).dropna().distinct() for side, c, n in ((a, "x", "__m"), (b, "y", "__n")))
+    longer = F.greatest("__m", "__n")
+    near = F.abs(F.col("__m") - F.col("__n")) <= longer * (1 - least)
     # Beyond the distance that the ratio allows the count stops and is -1.
-    distance = F.expr(f"levenshtein(x, y, cast(greatest(length(x), length(y)) * {1 - least} + 1e-9D as int))")
-    return a.join(b, block).filter(near).withColumn("__d", distance).filter("__d >= 0").withColumn("similarity", 1 - F.col("__d") / longer).drop("__d").filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    distance = F.expr(f"levenshtein(x, y, cast(greatest(__m, __n) * {1 - least} + 1e-9D as int))")
+    alike = xs.join(ys, block).filter(near).withColumn("__d", distance).filter("__d >= 0").withColumn("similarity", 1 - F.col("__d") / longer).filter(F.col("similarity") >= least)
+    return alike.select(block, "x", "y", "similarity").join(a, [block, "x"]).join(b, [block, "y"]).select("a", "b", "similarity")
