@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..checkpoint import Workspace
 
+#: Most keys of equal boxes that one row holds, on average.
+MEMBERS = 1000
+
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, width: int) -> DataFrame:
     """Points inside closed intervals of the same key; null bounds are open (J-04, J-05).
@@ -163,3 +166,22 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, l
     distance = F.expr(f"levenshtein(x, y, cast(greatest(__m, __n) * {1 - least} + 1e-9D as int))")
     alike = xs.join(ys, block).filter(near).withColumn("__d", distance).filter("__d >= 0").withColumn("similarity", 1 - F.col("__d") / longer).filter(F.col("similarity") >= least)
     return alike.select(block, "x", "y", "similarity").join(a, [block, "x"]).join(b, [block, "y"]).select("a", "b", "similarity")
+
+
+def contained_boxes(boxes: DataFrame, key: str, page: str, pieces: int = 16) -> DataFrame:
+    """outer_id, inner_id of boxes of a page that contain each other (PF-13). boxes: key, page, x0, y0, x1, y1.
+
+    Equal boxes lie in the same ones, so distinct boxes are compared, each with
+    its keys, MEMBERS of them at most in a row.  The outer ones of a page are
+    spread over ``pieces``, so a large page is many tasks, and the pairs are
+    spelt out where the boxes met, without a shuffle.
+    """
+    sides = ["x0", "y0", "x1", "y1"]
+    known = boxes.dropna(subset=[key, page, *sides])
+    sizes = known.groupBy(page, *sides).agg(F.count(F.lit(1)).alias("__n"))
+    share = F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / MEMBERS))
+    held = known.join(sizes, [page, *sides]).groupBy(page, *sides, share.alias("__share")).agg(F.collect_list(key).alias("__keys"))
+    outer = held.select(page, *(F.col(c).alias(f"a{c}") for c in sides), F.col("__keys").alias("__outer"), F.pmod(F.xxhash64(*sides, "__share"), F.lit(pieces)).cast("int").alias("__piece"))
+    inner = held.select(page, *(F.col(c).alias(f"b{c}") for c in sides), F.col("__keys").alias("__inner"), F.explode(F.array(*map(F.lit, range(pieces)))).alias("__piece"))
+    within = outer.join(inner, [page, "__piece"]).filter("ax0 <= bx0 and ay0 <= by0 and ax1 >= bx1 and ay1 >= by1").select("__outer", "__inner")
+    return within.select(F.explode("__outer").alias("outer_id"), "__inner").select("outer_id", F.explode("__inner").alias("inner_id")).filter("outer_id <> inner_id")

@@ -62,8 +62,7 @@ def boxes_within(t: Tables) -> DataFrame:
     """PF-13: boxes of a page that another box of it contains, by comparison of four columns."""
     k, size = F.col("p_partkey"), F.col("p_size")
     b = t.part.select(k.alias("id"), (k % 40).alias("x0"), (k % 30).alias("y0"), (k % 40 + size).alias("x1"), (k % 30 + size / 2.0).alias("y1"), (k % 50).alias("page"))
-    a, c = b.toDF("outer_id", "ax0", "ay0", "ax1", "ay1", "page"), b.toDF("inner_id", "bx0", "by0", "bx1", "by1", "page")
-    return a.join(c, "page").filter("outer_id <> inner_id and ax0 <= bx0 and ay0 <= by0 and ax1 >= bx1 and ay1 >= by1").select("outer_id", "inner_id")
+    return joins.contained_boxes(b, "id", "page")
 
 
 @query("""
