@@ -7,26 +7,28 @@ shingles.  DivideSkip merges only the short lists, of rare shingles, and looks
 the candidates up in the long ones.  Here, distributed:
 
 1. Texts of one set collapse to one representative.
-2. Shingles are ordered rare first.  Frequent shingles (in more than 1 / HEAVY of
-   the texts) are counted exactly and broadcast - there can't be more than HEAVY
-   times the average set size - all others count as equally rare.
+2. Shingles are ordered rare first.  Frequent shingles (in more than RARE and more
+   than 1 / HEAVY of the texts) are counted exactly and broadcast - there can't be
+   more than HEAVY times the average set size - all others count as equally rare.
 3. T - 1 lists of each text may be long; the others, its short lists, are routed
-   by shingle.  A list longer than CHUNK is cut into cells of block against
-   block, so that no task meets a whole hot list.
+   by shingle.  The first common shingle of two texts leaves T in both, so list
+   members meet only if what follows their places is enough for both sizes.
+   Frequent shingles are dealt into G groups: of any G + 1 common ones two are of
+   one group.  So a list is of a rare shingle, or of two frequent ones of a group,
+   the later of which leaves T - G.  Texts that need few common shingles are in
+   the lists of single frequent ones, long texts have more groups.
+   A list longer than CHUNK, by a sample of the texts, is cut into cells of block
+   against block, so that no task meets a whole hot list.
 4. In a task, list members are paired, a bounded number at a time, only if
-   sizes and a bitmap of 512 bits still allow T common shingles - the bitmap
-   bounds the overlap from above, so nothing is lost.  The candidate lists of
-   each text are heap-merged.  A candidate stays if its hits in short lists and
-   all the long ones together could make T.
+   sizes, places and a bitmap of 1024 bits still allow T common shingles - the
+   bitmap bounds the overlap from above, so nothing is lost.
 5. Candidates are probed in the long lists: binary search of one set in the
    other gives the exact overlap.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -37,15 +39,20 @@ from ..checkpoint import Workspace
 from ..operators.skew import hot_split_join
 from ..tables import current
 
-#: A shingle is frequent if more than one text in HEAVY has it.
-HEAVY = 1000
+#: A shingle is frequent if more than RARE texts and more than one in HEAVY have it.
+HEAVY = 8000
+RARE = 64
+#: Groups of frequent shingles: lists are of two of one group.
+GROUPS = 16
+#: Texts from which the lengths of the lists are estimated.
+SAMPLE = 20_000
 #: Most members of a list, or of a block of one, that a cell compares.
 CHUNK = 4096
-#: Shingles routed to one group of lists, on average.
-PART = 500_000
-BITS = 512
-#: Most pairs of list members looked at at once.
-PAIRS = 500_000
+#: Entries routed to one group of lists, on average.
+PART = 1_000_000
+BITS = 1024
+#: Most pairs of list members looked at at once: what is kept of them fits a core's cache.
+PAIRS = 20_000
 
 
 def word_list(text: Column) -> Column:
@@ -66,54 +73,101 @@ def least_common(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def _mix(*parts: int) -> int:
-    """A 64-bit key of a cell."""
-    h = 0x9E3779B97F4A7C15
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    """31-bit keys of rows of numbers. Where two rows have one key, their texts meet in vain, no more."""
+    h = np.uint64(0x9E3779B97F4A7C15)
     for p in parts:
-        h = ((h ^ (p & 0xFFFFFFFFFFFFFFFF)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-        h ^= h >> 29
-    return h - (1 << 64) if h >> 63 else h
+        h = (h ^ np.asarray(p).astype(np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(33)).astype(np.int64)
+
+
+def _marks(s: np.ndarray, n: np.ndarray, frequent: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text, key, place of all lists of texts that have n shingles each, of s, one text after the other.
+
+    A list is of a rare shingle or of two frequent ones of a group.  Before the later of two as many
+    common shingles may stand as there are groups, so it counts as so many places earlier.
+    """
+    doc = np.repeat(np.arange(len(n)), n)
+    count = np.zeros(len(s), dtype=np.int64)
+    if len(frequent):
+        spot = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        count = np.where(frequent[spot] == s, counts[spot], 0)
+    order = np.lexsort((s, count, doc))
+    s, count = s[order], count[order]
+    place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+    rest = rest_of(n, threshold)
+    single = np.flatnonzero((place < (n - rest)[doc]) & ((count == 0) | (rest < GROUPS)[doc]))
+    marks = [(doc[single], _mixed(s[single]), place[single])]
+    # Two texts meet in the groups for the number of shingles they must share, rest + 1 to n: up to GROUPS in lists of single ones.
+    groups, above, upto = GROUPS, GROUPS, GROUPS * 16
+    while len(n) and above < n.max():
+        here = (n > above) & (rest < upto)
+        paired = np.flatnonzero(here[doc] & (place < (n - rest + groups)[doc]) & (count > 0))
+        run = doc[paired] * groups + _mixed(s[paired]) % groups
+        order = np.argsort(run, kind="stable")
+        paired, run = paired[order], run[order]
+        start = np.searchsorted(run, run)
+        before = np.arange(len(run)) - start
+        later = np.repeat(np.arange(len(run)), before)
+        earlier = start[later] + np.arange(len(later)) - np.repeat(np.cumsum(before) - before, before)
+        one, two = paired[earlier], paired[later]
+        marks.append((doc[two], _mixed(s[one], s[two], groups), place[two] - groups))
+        groups, above, upto = groups * 4, upto, upto * 4
+    return tuple(np.concatenate(m) for m in zip(*marks, strict=True))
 
 
 #: Rows of routed texts: those of one batch that go to one part, side by side.
-_ROUTED = "part int, ids array<string>, n array<int>, bitmaps binary, docs array<int>, keys array<long>, places array<int>, sides array<int>"
+_ROUTED = "part int, ids array<long>, n array<int>, bitmaps binary, docs array<int>, keys array<int>, places array<int>, sides array<byte>"
+
 
+def _sets_of(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a batch, one text after the other, and how many each text has."""
+    return np.concatenate(batch["shingles"].to_list()).astype(np.int64), batch["shingles"].map(len).to_numpy(dtype=np.int64)
+
+
+def _lengths(sets: DataFrame, n_sets: int, heavy, threshold: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """Entries of all lists, the keys of lists of over CHUNK members, and their members; from SAMPLE of the texts, if there are more."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"key": _marks(*_sets_of(batch), *heavy.value, threshold)[1]})
 
-def _short_lists(sets: DataFrame, heavy, threshold: float, parts: int) -> DataFrame:
+    share = min(1.0, SAMPLE / max(n_sets, 1))
+    seen = sets if share == 1 else sets.filter(F.pmod(F.xxhash64(F.lit("lengths"), "class_id"), F.lit(1 << 31)) < int(share * (1 << 31)))
+    counts = seen.select("shingles").mapInPandas(keys, "key int").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # Less than 20 of a sample say little.
+    long = F.when(F.col("n") > (CHUNK if share == 1 else max(20, CHUNK * share)), F.col("key"))
+    lengths = counts.groupBy(long.alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    hot = lengths[lengths["key"].notna()].sort_values("key")
+    return int(lengths["n"].sum() / share), hot["key"].to_numpy(dtype=np.int64), np.ceil(hot["n"].to_numpy(dtype=np.float64) / share).astype(np.int64)
+
+
+def _short_lists(sets: DataFrame, heavy, hot, threshold: float, parts: int) -> DataFrame:
     """Per batch of texts and part: the texts with their sizes and bitmaps, and of each entry the text's number, the list's key, place (in rare-first order) and side."""
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent, counts = heavy.value
+        hot_keys, members = hot.value
         for batch in batches:
             if not len(batch):
                 continue
             ids = batch["id"].to_numpy()
-            n = batch["shingles"].map(len).to_numpy(dtype=np.int64)
-            s, doc = np.concatenate(batch["shingles"].to_list()).astype(np.int64), np.repeat(np.arange(len(ids)), n)
+            s, n = _sets_of(batch)
             bits = np.zeros((len(ids), BITS), dtype=bool)
-            bits[doc, s & (BITS - 1)] = True
+            bits[np.repeat(np.arange(len(ids)), n), s & (BITS - 1)] = True
             maps = np.packbits(bits, axis=1)
-            count = np.zeros(len(s), dtype=np.int64)
-            if len(frequent):
-                spot = np.searchsorted(frequent, s)
-                spot[spot == len(frequent)] = 0
-                count = np.where(frequent[spot] == s, counts[spot], 0)
-            order = np.lexsort((s, count, doc))
-            place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
-            short = place < (n - rest_of(n, threshold))[doc]
-            doc, place, s, count = doc[short], place[short], s[order][short], count[order][short]
-            hot = count > CHUNK
-            entries = [(s[~hot], doc[~hot], place[~hot], np.zeros((~hot).sum(), dtype=np.int64))]
-            cells = []
-            for k in np.flatnonzero(hot):
-                blocks = -(-int(count[k]) // CHUNK)
-                mine = (_mix(hash_of(ids[doc[k]])) & 0x7FFFFFFF) % blocks
-                for other in range(blocks):
-                    low, high = min(mine, other), max(mine, other)
-                    cells.append((_mix(int(s[k]), low, high), doc[k], place[k], 0 if low == high else 1 if mine == low else 2))
-            if cells:
-                entries.append(tuple(np.array(c, dtype=np.int64) for c in zip(*cells, strict=True)))
-            key, doc, place, side = (np.concatenate(c) for c in zip(*entries, strict=True))
+            doc, key, place = _marks(s, n, *heavy.value, threshold)
+            side = np.zeros(len(key), dtype=np.int64)
+            if len(hot_keys):
+                spot = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
+                long = hot_keys[spot] == key
+                blocks = -(-members[spot[long]] // CHUNK)
+                mine = np.repeat(_mixed(ids[doc[long]]) % blocks, blocks)
+                other = np.arange(len(mine)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                cells = _mixed(np.repeat(key[long], blocks), np.minimum(mine, other), np.maximum(mine, other))
+                doc, place = (np.concatenate([c[~long], np.repeat(c[long], blocks)]) for c in (doc, place))
+                key, side = np.concatenate([key[~long], cells]), np.concatenate([side[~long], np.where(mine == other, 0, np.where(mine < other, 1, 2))])
             part = key % parts
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order])) + 1
@@ -131,11 +185,6 @@ def rest_of(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold * n - 1e-9).astype(np.int64) - 1
 
 
-def hash_of(doc: str) -> int:
-    """The same in every process, unlike hash()."""
-    return int.from_bytes(np.frombuffer(doc.encode("utf-8") + b"\0" * (-len(doc.encode("utf-8")) % 8), dtype=np.uint64).sum(dtype=np.uint64).tobytes(), "little")
-
-
 def _in_blocks(low: np.ndarray, high: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (x, y) of every place y with the places low[y] <= x < high[y], about ``most`` at once."""
     searching = np.flatnonzero(high > low)
@@ -152,7 +201,18 @@ def _in_blocks(low: np.ndarray, high: np.ndarray, most: int = PAIRS) -> Iterator
         at = to
 
 
+def _apart(maps: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which the bitmaps of x and y differ: the words' counts, a byte each, are added eight at a time."""
+    eight = np.bitwise_count(np.take(maps, x, axis=0) ^ np.take(maps, y, axis=0)).view(np.uint64)
+    lanes = np.uint64(0x00FF00FF00FF00FF)
+    pairs = (eight & lanes) + ((eight >> np.uint64(8)) & lanes)
+    sums = (pairs * np.uint64(0x0001000100010001)) >> np.uint64(48)
+    return sum(sums[:, i] for i in range(sums.shape[1])).astype(np.int64)
+
+
 def _candidates(threshold: float):
+    share = threshold / (1 + threshold)
+
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ids = np.concatenate(group["ids"].to_list())
         n = np.concatenate(group["n"].to_list()).astype(np.int64)
@@ -163,51 +223,43 @@ def _candidates(threshold: float):
         key, place, side = (np.concatenate(group[c].to_list()).astype(np.int64) for c in ("keys", "places", "sides"))
         # Members of a list in order of size, then id: the later one is the text that searches.
         by_size = np.lexsort((ids, n))
+        ids, n, maps = ids[by_size], n[by_size], maps[by_size]
         rank = np.empty(len(ids), dtype=np.int64)
         rank[by_size] = np.arange(len(ids))
-        order = np.lexsort((rank[doc], side, key))
-        doc, key, place, side = doc[order], key[order], place[order], side[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1])]
-        run = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
+        doc = rank[doc]
+        # The largest partner that leaves enough shingles from this place on.
+        most = np.floor((n[doc] - place) / share - n[doc] + 1e-6).astype(np.int64)
+        order = np.lexsort((doc, side, key))
+        doc, key, side, most = doc[order], key[order], side[order], most[order]
+        run = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1])]) - 1
+        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
         # A run searches in itself; one side of a cell in the other side only.
         partner = np.arange(len(first))
         both = np.flatnonzero((key[first][1:] == key[first][:-1]) & (side[first][1:] == 2) & (side[first][:-1] == 1))
         partner[side[first] > 0] = -1
         partner[both], partner[both + 1] = both + 1, both
+        # Found are texts that may have a partner of their size; any may search.
+        listed = np.flatnonzero(most >= n[doc])
         beyond = len(ids) + 1
-        spot = run * beyond + rank[doc]
+        spot = run[listed] * beyond + doc[listed]
         of = partner[run]
         # Partners of a text have threshold times its size at least: a lower bound of their rank.
-        least = np.searchsorted(n[by_size], np.ceil(threshold * n - 1e-9))
-        low = np.where(of < 0, 0, np.searchsorted(spot, of * beyond + least[doc]))
-        high = np.where(of < 0, 0, np.searchsorted(spot, of * beyond + rank[doc]))
-        rest = rest_of(n, threshold)
-        # In the order of the lists, so that partners stand side by side.
-        listed, size = maps[doc], n[doc]
-        found = []
+        least = np.searchsorted(n, np.ceil(threshold * n - 1e-9))
+        low = np.searchsorted(spot, of * beyond + least[doc])
+        high = np.searchsorted(spot, of * beyond + np.minimum(doc, np.searchsorted(n, most, "right")))
+        low, high = np.where(of < 0, 0, low), np.where(of < 0, 0, high)
+        found = [np.zeros(0, dtype=np.int64)]
+        at, reach = doc[listed], most[listed]
+        needed = least_common(np.arange(2 * n[-1] + 1), 0, threshold)
         for x, y in _in_blocks(low, high):
-            apart = np.bitwise_count(listed[x] ^ listed[y]).sum(axis=1, dtype=np.int64)
-            both_sizes = size[x] + size[y]
-            keep = (both_sizes - apart) // 2 >= least_common(both_sizes, 0, threshold)
-            x, y = x[keep], y[keep]
-            found.append(np.stack([doc[y], key[x], rank[doc[x]]]))
-        out: list[tuple[str, str, int, int]] = []
-        if sum(f.shape[1] for f in found):
-            a, k, r = np.concatenate(found, axis=1)
-            order = np.lexsort((r, k, a))
-            a, k, r = a[order], k[order], r[order]
-            lists: dict[int, list[list[int]]] = {}
-            cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (k[1:] != k[:-1])])
-            for lo, hi in zip(cut, [*cut[1:], len(a)], strict=True):
-                lists.setdefault(int(a[lo]), []).append(r[lo:hi].tolist())
-            for searcher, short in lists.items():
-                for member, same in groupby(heapq.merge(*short)):
-                    other = by_size[member]
-                    # Common shingles that aren't hits stand in the long lists of the text whose short lists end first.
-                    needed = least_common(n[searcher], n[other], threshold) - max(rest[searcher], rest[other])
-                    out.append((ids[searcher], ids[other], sum(1 for _ in same), int(needed)))
-        return pd.DataFrame(out, columns=["a", "b", "hits", "needed"])
+            y = doc[y]
+            keep = reach[x] >= n[y]
+            x, y = at[x[keep]], y[keep]
+            both_sizes = n[x] + n[y]
+            keep = (both_sizes - _apart(maps, x, y)) // 2 >= needed[both_sizes]
+            found.append(y[keep] * beyond + x[keep])
+        pairs = np.unique(np.concatenate(found))
+        return pd.DataFrame({"a": ids[pairs // beyond], "b": ids[pairs % beyond]})
 
     return compare
 
@@ -251,20 +303,24 @@ def near_duplicates(spark: SparkSession, texts: DataFrame, words: int = 5, thres
     n_texts = sets.count()
     members = work.cut(hot_split_join(sets.select("id", key), several, "k", "class_id", "size", n_texts).filter("class_id is not null").select("id", "class_id"), "members")
     # Of the sets themselves only the copies' ids are told; Spark broadcasts them while they are few.
-    reps = work.cut(sets.join(members.filter("id <> class_id").select("id"), "id", "left_anti").select(F.col("id").alias("class_id"), "shingles"), "reps")
+    reps = work.cut(sets.join(members.filter("id <> class_id").select("id"), "id", "left_anti").select(F.col("id").alias("class_id"), F.monotonically_increasing_id().alias("num"), "shingles"), "reps")
+
+    work.drop("sets")
 
     n_reps = reps.count()
     counts = reps.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    frequent = counts.filter(F.col("n") > max(8, n_reps // HEAVY)).toPandas().sort_values("s")
+    frequent = counts.filter(F.col("n") > max(RARE, n_reps // HEAVY)).toPandas().sort_values("s")
     heavy = spark.sparkContext.broadcast((frequent["s"].to_numpy(dtype=np.int64), frequent["n"].to_numpy(dtype=np.int64)))
+    total, hot_keys, members_of = _lengths(reps, n_reps, heavy, threshold)
+    hot = spark.sparkContext.broadcast((hot_keys, members_of))
 
-    total = reps.agg(F.sum(F.size("shingles"))).first()[0] or 0
     # A text goes to most parts with its bitmap while they are few, so no more of them than the cores need.
     parts = max(2 * spark.sparkContext.defaultParallelism, total // PART)
-    lists = _short_lists(reps.select(F.col("class_id").alias("id"), "shingles"), heavy, threshold, parts)
-    found = lists.groupBy("part").applyInPandas(_candidates(threshold), "a string, b string, hits long, needed long")
-    hits = found.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("needed").alias("needed"))
-    candidates = work.cut(hits.filter("hits >= needed").select("a", "b"), "candidates")
+    lists = _short_lists(reps.select(F.col("num").alias("id"), "shingles"), heavy, hot, threshold, parts)
+    found = lists.groupBy("part").applyInPandas(_candidates(threshold), "a long, b long").distinct()
+    names = reps.select("num", "class_id")
+    told = found.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
+    candidates = work.cut(told.select(F.col("x").alias("a"), F.col("y").alias("b")), "candidates")
     one = reps.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa"))
     two = reps.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb"))
     probed = candidates.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInPandas(_probe, "a string, b string, na long, nb long, common long")

@@ -107,3 +107,90 @@ def test_sides_meet_only_each_other():
     out = N._candidates(0.1)(group_of(n, np.arange(n) % 2 + 1, 0))
     assert len(out) == 900 and all((int(a[1:]) + int(b[1:])) % 2 for a, b in zip(out["a"], out["b"], strict=True))
     assert len(N._candidates(0.1)(group_of(n, np.zeros(n, dtype=int), 0))) == n * (n - 1) // 2
+
+
+def looked_at(monkeypatch, group, threshold):
+    """Pairs that a group's lists look at, and those they find."""
+    blocks, seen = N._in_blocks, []
+    monkeypatch.setattr(N, "_in_blocks", lambda low, high: (seen.append(np.maximum(high - low, 0).sum()), blocks(low, high))[1])
+    out = N._candidates(threshold)(group)
+    monkeypatch.setattr(N, "_in_blocks", blocks)
+    return sum(seen), out
+
+
+def test_members_too_late_in_their_texts_do_not_meet(monkeypatch):
+    """Of 100 shingles two texts must share 58; from place 60 on 40 are left, from place 42 on just enough."""
+    for place, pairs in ((60, 0), (43, 0), (42, 780)):
+        group = group_of(40, np.zeros(40, dtype=int), 0)
+        group.at[0, "places"] = np.full(40, place)
+        seen, out = looked_at(monkeypatch, group, 0.4)
+        assert (seen, len(out)) == (pairs, pairs)
+
+
+def phrases(n, words=8, of=40):
+    """Sets of numbers: shingles of phrases that many texts have, and of their borders; each tenth text is a near copy of the one before."""
+    rng = random.Random(n)
+    sets = []
+    for i in range(n):
+        if i % 10 == 9:
+            sets.append({x if rng.random() < 0.8 else -rng.randrange(10**12) for x in sets[-1]})
+            continue
+        said = [rng.randrange(of) for _ in range(words)]
+        sets.append({p * 10 + j for p in said for j in range(4)} | {10**6 + (a * of + b) * 10 + j for a, b in zip(said, said[1:]) for j in range(2)} | {10**9 + i})
+    return [sorted(x * 0x9E3779B97F4A7C15 % 2**63 for x in s) for s in sets]
+
+
+def listed(sets, threshold, rare):
+    s, n = np.concatenate([np.array(x, dtype=np.int64) for x in sets]), np.array([len(x) for x in sets])
+    value, count = np.unique(s, return_counts=True)
+    doc, key, place = N._marks(s, n, value[count > rare], count[count > rare], threshold)
+    bits = np.zeros((len(n), N.BITS), dtype=bool)
+    bits[np.repeat(np.arange(len(n)), n), s & (N.BITS - 1)] = True
+    entry = (0, np.arange(len(n)), n, np.packbits(bits, axis=1).tobytes(), doc, key, place, np.zeros(len(key), dtype=int))
+    return pd.DataFrame([entry], columns=["part", "ids", "n", "bitmaps", "docs", "keys", "places", "sides"])
+
+
+@pytest.mark.parametrize("groups", [1, 2, 5, 16])
+@pytest.mark.parametrize(("threshold", "words"), [(0.4, 8), (0.3, 2), (0.7, 5), (0.4, 60)])
+def test_no_pair_is_lost_in_lists_of_two(monkeypatch, groups, threshold, words):
+    monkeypatch.setattr(N, "GROUPS", groups)
+    sets = phrases(300, words)
+    want = {(a, b) for b, y in enumerate(map(set, sets)) for a, x in enumerate(map(set, sets[:b])) if len(x & y) >= threshold * len(x | y) - 1e-12}
+    for rare in (0, 2, 10):
+        out = N._candidates(threshold)(listed(sets, threshold, rare))
+        assert want <= {(min(p), max(p)) for p in zip(out["a"], out["b"], strict=True)} and want
+
+
+def test_texts_of_few_phrases_meet_seldom(monkeypatch):
+    """Lists of all first shingles, without regard to places, would look at five times as many pairs or more."""
+    n = 3000
+    sets = phrases(n, 24, 120)
+    value, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    sizes = np.array([len(x) for x in sets])
+    doc = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((at, count[at], doc))
+    place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    members = np.bincount(at[order][place < (sizes - N.rest_of(sizes, 0.4))[doc]])
+    seen, out = looked_at(monkeypatch, listed(sets, 0.4, 20), 0.4)
+    assert n // 10 * 0.9 < len(out) and seen < (members * (members - 1) // 2).sum() / 5
+
+
+def test_frequent_shingles_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(N, "RARE", 2)
+    texts = corpus(11, 160)
+    df = spark.createDataFrame(texts, "id string, text string")
+    for most in (4096, 8):
+        monkeypatch.setattr(N, "CHUNK", most)
+        assert {tuple(r) for r in N.expanded(N.near_duplicates(spark, df, 3, 0.4, 30)).collect()} == brute(texts, 3, 0.4, 30)
+
+
+def test_lengths_of_lists_come_from_a_sample(spark, monkeypatch):
+    """A sample of the texts tells which lists are long, and the pairs stay whole."""
+    monkeypatch.setattr(N, "SAMPLE", 60)
+    monkeypatch.setattr(N, "CHUNK", 16)
+    monkeypatch.setattr(N, "RARE", 8)
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(60)]
+    texts = [(f"p{i:03}", " ".join([*common, *(f"x{rng.randrange(10**6)}" for _ in range(rng.randint(5, 60)))])) for i in range(120)]
+    df = spark.createDataFrame(texts, "id string, text string")
+    assert {tuple(r) for r in N.expanded(N.near_duplicates(spark, df, 3, 0.4)).collect()} == brute(texts, 3, 0.4, 0)
