@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ PAIRS = 20_000
 
 def word_list(text: Column) -> Column:
     """Longest runs of letters and digits, in lower case, with ё as е."""
-    return F.array_remove(F.split(F.translate(F.lower(text), "ё", "е"), r"[^\p{L}\p{N}]+"), "")
+    return F.array_remove(F.split(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), r"[^\p{L}\p{N}]+"), "")
 
 
 def shingle_sets(texts: DataFrame, words: int, least_words: int) -> DataFrame:
@@ -174,12 +175,23 @@ def _short_lists(sets: DataFrame, heavy, hot, threshold: float, parts: int) -> D
             rows = []
             for at in np.split(order, cuts):
                 own, number = np.unique(doc[at], return_inverse=True)
-                rows.append((int(part[at[0]]), ids[own], n[own], maps[own].tobytes(), number, key[at], place[at], side[at]))
+                rows.append((int(part[at[0]]), ids[own], n[own], _packed(maps[own].tobytes()), number, key[at], place[at], side[at]))
             yield pd.DataFrame(rows, columns=["part", "ids", "n", "bitmaps", "docs", "keys", "places", "sides"])
 
     return sets.mapInPandas(route, _ROUTED)
 
 
+def _packed(maps: bytes) -> bytes:
+    """Compressed, unless that makes them no smaller."""
+    small = pa.compress(maps, codec="zstd", asbytes=True)
+    return small if len(small) < len(maps) else maps
+
+
+def _unpacked(maps: bytes, texts: int) -> bytes:
+    size = int(texts) * BITS // 8
+    return maps if len(maps) == size else pa.decompress(maps, decompressed_size=size, codec="zstd", asbytes=True)
+
+
 def rest_of(n: np.ndarray, threshold: float) -> np.ndarray:
     """Long lists of a text of n shingles: one less than any partner shares with it."""
     return np.ceil(threshold * n - 1e-9).astype(np.int64) - 1
@@ -216,8 +228,8 @@ def _candidates(threshold: float):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ids = np.concatenate(group["ids"].to_list())
         n = np.concatenate(group["n"].to_list()).astype(np.int64)
-        maps = np.frombuffer(b"".join(group["bitmaps"]), dtype=np.uint64).reshape(len(ids), -1)
         texts = group["ids"].map(len).to_numpy()
+        maps = np.frombuffer(b"".join(map(_unpacked, group["bitmaps"], texts)), dtype=np.uint64).reshape(len(ids), -1)
         entries = group["keys"].map(len).to_numpy()
         doc = np.concatenate(group["docs"].to_list()) + np.repeat(np.cumsum(texts) - texts, entries)
         key, place, side = (np.concatenate(group[c].to_list()).astype(np.int64) for c in ("keys", "places", "sides"))
